@@ -27,10 +27,22 @@ from ..functions.text import (ngram_range, remove_stop_words, text_as_string,
 from .ranking import top_k_per_query
 
 
-def default_stop_words(spark: SparkSession) -> list[str]:
-    """Spark's built-in English stop-word list."""
-    from pyspark.ml.feature import StopWordsRemover
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
+def default_stop_words(spark: SparkSession | None = None) -> list[str]:
+    """Spark's built-in English stop-word list (the one StopWordsRemover
+    loads), read from the Spark ML jar so no JVM call is needed."""
+    return spark_stop_words("english")
+
+
+def spark_stop_words(language: str = "english") -> list[str]:
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    with zipfile.ZipFile(jars[0]) as z:
+        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
+    return [w.strip() for w in raw.splitlines() if w.strip()]
 
 
 def rows_at_most(df: DataFrame, limit: int) -> bool:
