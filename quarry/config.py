@@ -24,8 +24,7 @@ VAL_YEARS = (2017, 2018)
 TEST_YEARS = (2019, 2020, 2021)
 
 # Ranking convention (the original leaves tie order unspecified): scores are
-# compared after rounding to this many decimals, then by ascending doc id.
-SCORE_DECIMALS = 9
+# compared at float32 precision, then by ascending doc id.
 
 # Size bounds for broadcasting a side that may grow with the data.
 BROADCAST_MAX_ROWS = 2_000_000

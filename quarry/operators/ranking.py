@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import SCORE_DECIMALS
-
-
-def rounded_score(col="score", decimals: int = SCORE_DECIMALS):
+def rounded_score(col="score"):
+    """The ranking key: the score at float32 precision (relative, about 7
+    significant digits), so sums that differ only in the last bits of a
+    double -- summation order -- compare equal in every engine."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, decimals)
+    return c.cast("float").cast("double")
 
 
 def rank_window(query_col: str = "query_id", doc_col: str = "doc_id",
                 score_col: str = "score"):
-    """Best first: rounded score descending, then doc id ascending."""
+    """Best first: score (float32 precision) descending, then doc id ascending."""
     return Window.partitionBy(query_col).orderBy(
         rounded_score(score_col).desc(), F.col(doc_col).asc())
 
