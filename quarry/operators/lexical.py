@@ -24,6 +24,7 @@ from ..config import (BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_MAX_ROWS,
                       TFIDF_VOCAB_SIZE)
 from ..functions.text import (ngram_range, remove_stop_words, text_as_string,
                               tokenize)
+from ..session import materialize
 from .ranking import top_k_per_query
 
 
@@ -85,14 +86,26 @@ def count_terms(rows: DataFrame, key: list[str], tokens: str = "_tk",
 
 def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON,
-               null_text: str = "") -> BM25Index:
+               null_text: str = "", persist: bool = True) -> BM25Index:
+    """One pass over the text builds the postings; with ``persist`` they are
+    checkpointed, so corpus statistics, term statistics and every scoring
+    job read the index instead of re-tokenising the corpus."""
     docs = doc_lengths_and_tokens(corpus, id_col, text_col, null_text)
-    postings = count_terms(docs, ["doc_id", "dl"])
-    n_docs = _scalar(docs, F.count(F.lit(1)).cast("double"))
-    avgdl = _scalar(docs, F.avg("dl"))
+    # explode_outer keeps empty documents (term null): they count in N and avgdl
+    e = docs.select("doc_id", "dl", F.explode_outer("_tk").alias("term"))
+    postings_all = e.groupBy("doc_id", "dl", "term").agg(
+        F.count("term").cast("long").alias("tf"))
+    if persist:
+        postings_all = materialize(postings_all)
+    doc_stats = postings_all.select("doc_id", "dl").distinct()
+    n_docs = _scalar(doc_stats, F.count(F.lit(1)).cast("double"))
+    avgdl = _scalar(doc_stats, F.avg("dl"))
+    postings = postings_all.filter(F.col("term").isNotNull())
     df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     with_raw = df_.withColumn("raw_idf", raw)
+    if persist:
+        with_raw = materialize(with_raw)
     mean_raw = _scalar(with_raw, F.avg("raw_idf"))
     term_stats = with_raw.withColumn(
         "idf", F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_raw)
@@ -188,20 +201,20 @@ def tfidf_index(corpus: DataFrame, ngram: tuple[int, int] = (1, 1),
     spark = corpus.sparkSession
     if stop_words is None:
         stop_words = default_stop_words(spark)
-    counts = ngram_counts(corpus, ngram, stop_words, id_col, text_col)
+    counts = materialize(ngram_counts(corpus, ngram, stop_words, id_col, text_col))
     fit_counts = counts if vocab_corpus is None else ngram_counts(
         vocab_corpus, ngram, stop_words, id_col, text_col)
     stats = fit_counts.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"),
                                            F.count(F.lit(1)).alias("df"))
     fit_docs = corpus if vocab_corpus is None else vocab_corpus
     n = _scalar(fit_docs, F.count(F.lit(1)).cast("double"))
-    vocab = top_k_vocabulary(stats, vocab_size).withColumn(
-        "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+    vocab = materialize(top_k_vocabulary(stats, vocab_size).withColumn(
+        "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
     # the vocabulary has at most vocab_size rows: safe to broadcast
     w = counts.join(F.broadcast(vocab.select("term", "idf")), "term") \
         .withColumn("w", F.col("tf") * F.col("idf"))
-    w = _l2_normalise(w, "doc_id")
-    return TfidfIndex(w.select("doc_id", "term", "w"), vocab, ngram, stop_words)
+    w = materialize(_l2_normalise(w, "doc_id").select("doc_id", "term", "w"))
+    return TfidfIndex(w, vocab, ngram, stop_words)
 
 
 def _l2_normalise(w: DataFrame, key: str) -> DataFrame:

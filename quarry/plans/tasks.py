@@ -20,7 +20,15 @@ DENSE_QUERY_LIMIT = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  A large table arrives in many splits; a small one
+    (here: a single row group) would put all its text work in one task, so
+    it is hash-spread by its id column to the cluster's parallelism.  The
+    id partitioning is then reused by per-document aggregations."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        df = df.repartition(par, df.columns[0])
+    return df
 
 
 # ---------------------------------------------------------------- lexical

@@ -65,9 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable (not local) checkpoint: cuts lineage and pins the exact rows,
-    so later branches of a plan see one consistent result even if an
-    executor is lost and upstream stages would be recomputed."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and
+    read it back.  Cuts lineage and pins the exact rows: later branches of a
+    plan see one consistent result, and a lost executor costs a re-read, not
+    a recomputation.  (An eager ``checkpoint()`` of an uncached Dataset runs
+    its plan twice; a written table runs it once and stores it columnar.)"""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
