@@ -31,7 +31,7 @@ def text_as_string(col, null_text: str = "") -> Column:
 
 
 def tokenize(col) -> Column:
-    """Lower-case, split on Unicode whitespace (Python's set), drop empty
+    r"""Lower-case, split on Unicode whitespace (Python's set), drop empty
     pieces.  Null text stays null.  All built-in, code-generated
     expressions: translate the rare whitespace characters to a space, split
     on \s+, remove the empty strings left at the ends."""

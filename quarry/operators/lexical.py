@@ -103,9 +103,8 @@ def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = postings_all.filter(F.col("term").isNotNull())
     df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    # term statistics re-aggregate the written postings where used (cheap)
     with_raw = df_.withColumn("raw_idf", raw)
-    if persist:
-        with_raw = materialize(with_raw)
     mean_raw = _scalar(with_raw, F.avg("raw_idf"))
     term_stats = with_raw.withColumn(
         "idf", F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_raw)
