@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import (BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_MAX_ROWS,
@@ -68,20 +68,19 @@ class BM25Index:
     b: float
 
 
-def doc_lengths_and_tokens(corpus: DataFrame, id_col: str = "doc_id",
-                           text_col: str = "text", null_text: str = "") -> DataFrame:
-    toks = tokenize(text_as_string(text_col, null_text))
-    d = corpus.select(F.col(id_col).alias("doc_id"), toks.alias("_tk"))
-    return d.select("doc_id", F.size("_tk").cast("long").alias("dl"), "_tk")
-
+def count_terms(rows: DataFrame, key: list, tokens: Column, tf_col: str = "tf",
+                outer: bool = False) -> DataFrame:
+    """Explode a token-array expression and count per (key..., term).
 
-def count_terms(rows: DataFrame, key: list[str], tokens: str = "_tk",
-                tf_col: str = "tf") -> DataFrame:
-    """Explode tokens and count per (key..., term).  All rows of one key come
-    from one input row, so the partial aggregation before the shuffle already
-    finishes each key: the shuffle carries distinct (key, term) rows only."""
-    e = rows.select(*key, F.explode(tokens).alias("term"))
-    return e.groupBy(*key, "term").agg(F.count(F.lit(1)).cast("long").alias(tf_col))
+    The array is exploded inline (never first stored as a column: a stored
+    array would be carried along with every exploded row).  All rows of one
+    key come from one input row, so partial aggregation before the shuffle
+    already finishes each key; the shuffle carries distinct (key, term)
+    rows only, and none at all when the input is partitioned by the key."""
+    gen = F.explode_outer(tokens) if outer else F.explode(tokens)
+    e = rows.select(*key, gen.alias("term"))
+    names = [c for c in e.columns if c != "term"]
+    return e.groupBy(*names, "term").agg(F.count("term").cast("long").alias(tf_col))
 
 
 def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -90,11 +89,15 @@ def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One pass over the text builds the postings; with ``persist`` they are
     checkpointed, so corpus statistics, term statistics and every scoring
     job read the index instead of re-tokenising the corpus."""
-    docs = doc_lengths_and_tokens(corpus, id_col, text_col, null_text)
-    # explode_outer keeps empty documents (term null): they count in N and avgdl
-    e = docs.select("doc_id", "dl", F.explode_outer("_tk").alias("term"))
-    postings_all = e.groupBy("doc_id", "dl", "term").agg(
-        F.count("term").cast("long").alias("tf"))
+    toks = tokenize(text_as_string(text_col, null_text))
+    # explode_outer keeps empty documents (term null, tf 0): they count in N
+    # and avgdl.  The length is the sum of a document's tf (a window over the
+    # doc's rows), not size(tokens) next to the explode -- a sibling
+    # expression of a generator is evaluated once per exploded row.
+    counts = count_terms(corpus, [F.col(id_col).alias("doc_id")], toks, outer=True)
+    postings_all = counts.withColumn(
+        "dl", F.sum("tf").over(Window.partitionBy("doc_id")).cast("long")) \
+        .select("doc_id", "dl", "term", "tf")
     if persist:
         postings_all = materialize(postings_all)
     doc_stats = postings_all.select("doc_id", "dl").distinct()
@@ -115,9 +118,8 @@ def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def query_term_counts(queries: DataFrame, id_col: str = "query_id",
                       text_col: str = "query_text", null_text: str = "") -> DataFrame:
     """(query_id, term, qtf): repeated query tokens count repeatedly."""
-    q = queries.select(F.col(id_col).alias("query_id"),
-                       tokenize(text_as_string(text_col, null_text)).alias("_tk"))
-    return count_terms(q, ["query_id"], tf_col="qtf")
+    return count_terms(queries, [F.col(id_col).alias("query_id")],
+                       tokenize(text_as_string(text_col, null_text)), tf_col="qtf")
 
 
 def term_match_join(postings: DataFrame, query_terms: DataFrame,
@@ -182,9 +184,8 @@ def analyze(col, ngram: tuple[int, int], stop_words: list[str], null_text: str =
 
 def ngram_counts(corpus: DataFrame, ngram, stop_words, id_col="doc_id",
                  text_col="text") -> DataFrame:
-    d = corpus.select(F.col(id_col).alias("doc_id"),
-                      analyze(text_col, ngram, stop_words).alias("_tk"))
-    return count_terms(d, ["doc_id"])
+    return count_terms(corpus, [F.col(id_col).alias("doc_id")],
+                       analyze(text_col, ngram, stop_words))
 
 
 def top_k_vocabulary(term_stats: DataFrame, size: int = TFIDF_VOCAB_SIZE) -> DataFrame:
