@@ -383,8 +383,9 @@ def q_cosine_top_k_lsh(spark, sf):
 
 def q_encode_texts(spark, sf):
     vec = dense.encode_texts(tasks.lexical_corpus(spark, sf), "text", "doc_id")
-    return vec.select("doc_id", F.size("vec").cast("long").alias("dim"),
-                      _r(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), "sq_norm"))
+    long = vec.select("doc_id", F.posexplode("vec").alias("dim_idx", "value"))
+    return long.filter(F.col("value") != 0).select(
+        "doc_id", F.col("dim_idx").cast("long").alias("dim_idx"), _r("value"))
 
 
 # -------------------------------------------------------------- evaluation

@@ -293,6 +293,20 @@ SUMMARY_COLS = ('"Method", "Recall@1", "Recall@5", "Recall@10", "Recall@20", "nD
                 '"MRR", "MAP"')
 
 
+def hash_vectors(prefix: str, table: str, id_col: str, text_col: str, dim: int = 64) -> list[str]:
+    """Signed hashed bag of tokens, L2-normalised: {p}_v(id, j, v)."""
+    p = prefix
+    return [f"""{p}_e AS (
+        SELECT id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim} AS j,
+               CASE WHEN CAST(('0x' || substr(md5(t), 10, 1)) AS INT) % 2 = 1
+                    THEN 1.0 ELSE -1.0 END AS sgn
+        FROM (SELECT {id_col} AS id, unnest({tok(text_col)}) AS t FROM {table}))""",
+            f"{p}_c AS (SELECT id, j, sum(sgn) AS c FROM {p}_e GROUP BY id, j)",
+            f"{p}_n AS (SELECT id, sqrt(sum(c * c)) AS n FROM {p}_c GROUP BY id)",
+            f"""{p}_v AS (SELECT c.id, c.j, c.c / n.n AS v FROM {p}_c c JOIN {p}_n n ON n.id = c.id
+                         WHERE c.c <> 0)"""]
+
+
 def _lex_models():
     return (bm25("bm", "lcorpus", "lqueries") + tfidf("t1", "lcorpus", "lqueries", 1)
             + tfidf("t2", "lcorpus", "lqueries", 2))
@@ -485,6 +499,19 @@ def _build() -> dict[str, str]:
         [summary_csv_row("e1", "BM25"), summary_csv_row("e2", "TF-IDF-1gr"),
          summary_csv_row("e3", "TF-IDF-2gr")])
     q["dense_benchmark"] = dsum + metrics_row("de", "Dense-cosine")
+    q["encode_texts"] = with_(hash_vectors("hd", "documents", "doc_id", "text")) + \
+        "SELECT id AS doc_id, CAST(j AS BIGINT) AS dim_idx, round(v, 6) AS value FROM hd_v"
+    four = with_(LEXICAL, _lex_models(), hash_vectors("hd", "documents", "doc_id", "text"),
+                 hash_vectors("hq", "benchmark", "item_id", "text"),
+                 ["""h_run AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) AS score
+                              FROM hq_v q JOIN hd_v d ON d.j = q.j GROUP BY q.id, d.id)"""],
+                 evaluation("e1", "bm_run", "lqrels", "lcorpus"),
+                 evaluation("e2", "t1_run", "lqrels", "lcorpus"),
+                 evaluation("e3", "t2_run", "lqrels", "lcorpus"),
+                 evaluation("e4", "h_run", "lqrels", "lcorpus"))
+    q["combined_benchmark"] = four + "\nUNION ALL\n".join(
+        [metrics_row("e1", "BM25"), metrics_row("e2", "TF-IDF-1gr"),
+         metrics_row("e3", "TF-IDF-2gr"), metrics_row("e4", "HashEnc-64")])
     return q
 
 
