@@ -83,6 +83,14 @@ def count_terms(rows: DataFrame, key: list, tokens: Column, tf_col: str = "tf",
     return e.groupBy(*names, "term").agg(F.count("term").cast("long").alias(tf_col))
 
 
+def by_document(corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Co-locate each document's rows: one shuffle of the raw text keyed by
+    doc id, after which per-document aggregation (tf, length, norms) needs
+    no further exchange.  Cheaper than shuffling the postings twice, which
+    are larger than the text they come from."""
+    return corpus.repartition(F.col(id_col))
+
+
 def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON,
                null_text: str = "", persist: bool = True) -> BM25Index:
@@ -94,7 +102,8 @@ def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # and avgdl.  The length is the sum of a document's tf (a window over the
     # doc's rows), not size(tokens) next to the explode -- a sibling
     # expression of a generator is evaluated once per exploded row.
-    counts = count_terms(corpus, [F.col(id_col).alias("doc_id")], toks, outer=True)
+    counts = count_terms(by_document(corpus, id_col), [F.col(id_col).alias("doc_id")], toks,
+                         outer=True)
     postings_all = counts.withColumn(
         "dl", F.sum("tf").over(Window.partitionBy("doc_id")).cast("long")) \
         .select("doc_id", "dl", "term", "tf")
@@ -201,7 +210,8 @@ def tfidf_index(corpus: DataFrame, ngram: tuple[int, int] = (1, 1),
     spark = corpus.sparkSession
     if stop_words is None:
         stop_words = default_stop_words(spark)
-    counts = materialize(ngram_counts(corpus, ngram, stop_words, id_col, text_col))
+    counts = materialize(ngram_counts(by_document(corpus, id_col), ngram, stop_words,
+                                      id_col, text_col))
     fit_counts = counts if vocab_corpus is None else ngram_counts(
         vocab_corpus, ngram, stop_words, id_col, text_col)
     stats = fit_counts.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"),
@@ -218,8 +228,10 @@ def tfidf_index(corpus: DataFrame, ngram: tuple[int, int] = (1, 1),
 
 
 def _l2_normalise(w: DataFrame, key: str) -> DataFrame:
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, key).withColumn("w", F.col("w") / F.col("_norm")).drop("_norm")
+    """Divide by the L2 norm of the key's vector: one window per key (one
+    exchange by key, no join back)."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.withColumn("w", F.col("w") / norm)
 
 
 def tfidf_query_weights(index: TfidfIndex, queries: DataFrame, id_col="query_id",
