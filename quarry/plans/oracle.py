@@ -104,7 +104,7 @@ LEXICAL = ["""lcorpus AS (SELECT doc_id, text FROM documents)""",
 
 DENSE = ["""dvec AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS vec, label
                      FROM embeddings)""",
-         """dq AS (SELECT doc_id AS query_id, vec, label FROM dvec WHERE doc_id < 50)""",
+         """dq AS (SELECT doc_id AS query_id, vec, label FROM dvec)""",
          """dqrels AS (SELECT q.query_id, d.doc_id FROM dq q JOIN dvec d ON d.label = q.label
                        WHERE q.query_id <> d.doc_id)""",
          """dscore AS (

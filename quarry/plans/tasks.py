@@ -4,7 +4,8 @@
   that contain the benchmark passage;
 * temporal citation task: paragraphs with a date and a citation edge list,
   both derived from ``documents`` by integer arithmetic;
-* dense task: embeddings, queries vec_id < 50, relevance = same label;
+* dense task: leave-one-out over all embeddings (every vector queries all
+  the others), relevance = same label;
 * pair task: the lexical qrels pairs with both texts.
 """
 
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITESPACE_CLASS
 from ..operators.lexical import rows_at_most
 
-DENSE_QUERY_LIMIT = 50
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table.  A large table arrives in many splits; a small one
     (here: a single row group) would put all its text work in one task, so
@@ -123,8 +121,8 @@ def dense_vectors(spark, sf_dir) -> DataFrame:
 
 
 def dense_queries(spark, sf_dir) -> DataFrame:
-    return dense_vectors(spark, sf_dir).filter(F.col("doc_id") < DENSE_QUERY_LIMIT) \
-        .select(F.col("doc_id").alias("query_id"), "vec", "label")
+    """Every vector is a query (its own row is excluded when scoring)."""
+    return dense_vectors(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "vec", "label")
 
 
 def dense_qrels(spark, sf_dir) -> DataFrame:
