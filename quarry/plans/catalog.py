@@ -57,8 +57,14 @@ def _temporal(spark, sf):
     return par, edges, split.prepare_retrieval_task(par, edges)
 
 
+def _score(c="score"):
+    """Scores leave at float32 precision -- the precision rankings compare
+    at -- so engines that sum in different orders print the same value."""
+    return F.col(c).cast("float").alias(c)
+
+
 def _run_cols(df):
-    return df.select("query_id", "doc_id", "rank", _r("score"))
+    return df.select("query_id", "doc_id", "rank", _score())
 
 
 def _per_query(run, qrels, corpus):
@@ -240,7 +246,7 @@ def q_term_match_join(spark, sf):
 def q_query_doc_cross(spark, sf):
     run = dense.query_doc_scores(tasks.dense_queries(spark, sf), tasks.dense_vectors(spark, sf),
                                  exclude_self=True)
-    return run.select("query_id", "doc_id", _r("score"))
+    return run.select("query_id", "doc_id", _score())
 
 
 # ------------------------------------------------------------ aggregations
@@ -342,7 +348,7 @@ def q_batch_retrieve(spark, sf):
 def q_scores_for_all(spark, sf):
     corpus, queries, _ = _lexical(spark, sf)
     full = ranking.scores_for_all(_bm25_run(spark, sf), queries, corpus)
-    return full.select("query_id", "doc_id", _r("score"))
+    return full.select("query_id", "doc_id", _score())
 
 
 # ------------------------------------------------------- retrieval models

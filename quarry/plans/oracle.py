@@ -194,7 +194,7 @@ def tfidf(prefix: str, corpus: str, queries: str, ngram_hi: int, vocab: int = 50
 
 
 def top_k(run: str, k: int) -> str:
-    return f"""SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (
+    return f"""SELECT query_id, doc_id, rank, CAST(score AS FLOAT) AS score FROM (
       SELECT query_id, doc_id, score,
              CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST(score AS FLOAT) DESC, doc_id)
                   AS BIGINT) AS rank
@@ -367,7 +367,7 @@ def _build() -> dict[str, str]:
       SELECT q.query_id, p.doc_id, count(*) AS n_shared_terms
       FROM bm_qt q JOIN bm_post p ON p.term = q.term GROUP BY q.query_id, p.doc_id"""
     q["query_doc_cross"] = with_(DENSE) + \
-        "SELECT query_id, doc_id, round(score, 6) AS score FROM dscore"
+        "SELECT query_id, doc_id, CAST(score AS FLOAT) AS score FROM dscore"
     # aggregations
     q["citations_by_source"] = with_(PARAGRAPHS, CITATIONS) + """
       SELECT par_id_from, array_to_string(list_sort(list(par_id_to)), ' ') AS targets,
@@ -413,7 +413,7 @@ def _build() -> dict[str, str]:
         top_k("bm_run", 1 << 40)
     q["batch_retrieve"] = with_(T, bm25("tb", "tcorpus", "tqueries")) + top_k("tb_run", 10)
     q["scores_for_all"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + """
-      SELECT q.query_id, c.doc_id, round(coalesce(r.score, 0.0), 6) AS score
+      SELECT q.query_id, c.doc_id, CAST(coalesce(r.score, 0.0) AS FLOAT) AS score
       FROM lqueries q CROSS JOIN lcorpus c
       LEFT JOIN bm_run r ON r.query_id = q.query_id AND r.doc_id = c.doc_id"""
     # retrieval models
