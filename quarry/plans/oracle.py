@@ -30,13 +30,6 @@ def bigrams(x: str) -> str:
     return f"list_transform(range(1, len({x})), lambda i: {x}[i] || ' ' || {x}[i + 1])"
 
 
-R6 = "round({}, 6)"
-
-
-def r6(x, name):
-    return f"round({x}, 6) AS {name}"
-
-
 # ------------------------------------------------------------ base CTEs
 
 PARAGRAPHS = """paragraphs AS (
