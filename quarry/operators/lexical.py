@@ -159,15 +159,20 @@ def term_match_join(postings: DataFrame, query_terms: DataFrame,
 
 def bm25_scores(index: BM25Index, queries: DataFrame, id_col: str = "query_id",
                 text_col: str = "query_text", **join_opts) -> DataFrame:
-    """Sparse run (query_id, doc_id, score): every doc sharing a term."""
+    """Sparse run (query_id, doc_id, score): every doc sharing a term.
+
+    Each side's factor is computed before the join -- the saturated term
+    frequency per posting, qtf * idf per query term -- so the joined rows
+    (the largest intermediate) carry two ids and two numbers only."""
     qt = query_term_counts(queries, id_col, text_col)
-    qt = qt.join(index.term_stats.select("term", "idf"), "term")
-    j = term_match_join(index.postings, qt, term_df=index.term_stats, **join_opts)
+    qt = qt.join(index.term_stats.select("term", "idf"), "term") \
+        .select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("wq"))
     k1, b = index.k1, index.b
     tf = F.col("tf")
     norm = tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / index.avgdl)
-    contrib = F.col("qtf") * F.col("idf") * (tf * F.lit(k1 + 1)) / norm
-    return j.groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score"))
+    post = index.postings.select("term", "doc_id", ((tf * F.lit(k1 + 1)) / norm).alias("wd"))
+    j = term_match_join(post, qt, term_df=index.term_stats, **join_opts)
+    return j.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
 def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, **opts) -> DataFrame:
