@@ -167,6 +167,8 @@ def bm25_scores(index: BM25Index, queries: DataFrame, id_col: str = "query_id",
     qt = query_term_counts(queries, id_col, text_col)
     qt = qt.join(index.term_stats.select("term", "idf"), "term") \
         .select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("wq"))
+    # read twice (size check, join): write the small query side once
+    qt = materialize(qt, "query_terms")
     k1, b = index.k1, index.b
     tf = F.col("tf")
     norm = tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / index.avgdl)
@@ -252,7 +254,7 @@ def tfidf_query_weights(index: TfidfIndex, queries: DataFrame, id_col="query_id"
 def tfidf_scores(index: TfidfIndex, queries: DataFrame, id_col="query_id",
                  text_col="query_text", **join_opts) -> DataFrame:
     """Cosine of L2-normalised tf-idf vectors; zero vectors give no rows."""
-    qw = tfidf_query_weights(index, queries, id_col, text_col)
+    qw = materialize(tfidf_query_weights(index, queries, id_col, text_col), "query_weights")
     j = term_match_join(index.weights, qw, **join_opts)
     return j.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
