@@ -17,33 +17,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_MAX_ROWS,
                       TFIDF_VOCAB_SIZE)
+from ..functions.stopwords import ENGLISH
 from ..functions.text import (ngram_range, remove_stop_words, text_as_string,
                               tokenize)
 from ..session import materialize
 from .ranking import top_k_per_query
 
 
-def default_stop_words(spark: SparkSession | None = None) -> list[str]:
-    """Spark's built-in English stop-word list (the one StopWordsRemover
-    loads), read from the Spark ML jar so no JVM call is needed."""
-    return spark_stop_words("english")
-
-
-def spark_stop_words(language: str = "english") -> list[str]:
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return [w.strip() for w in raw.splitlines() if w.strip()]
+def default_stop_words() -> list[str]:
+    """The English stop words removed before n-grams are built."""
+    return list(ENGLISH)
 
 
 def rows_at_most(df: DataFrame, limit: int) -> bool:
@@ -214,9 +202,8 @@ def tfidf_index(corpus: DataFrame, ngram: tuple[int, int] = (1, 1),
                 vocab_size: int = TFIDF_VOCAB_SIZE, stop_words: list[str] | None = None,
                 vocab_corpus: DataFrame | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> TfidfIndex:
-    spark = corpus.sparkSession
     if stop_words is None:
-        stop_words = default_stop_words(spark)
+        stop_words = default_stop_words()
     counts = materialize(ngram_counts(by_document(corpus, id_col), ngram, stop_words,
                                       id_col, text_col))
     fit_counts = counts if vocab_corpus is None else ngram_counts(

@@ -5,6 +5,8 @@ query x corpus grid, joins are plain SQL joins."""
 
 from __future__ import annotations
 
+import functools
+
 from ..operators.lexical import default_stop_words
 
 # Python's whitespace set as an RE2 class (tokeniser of the lexical models)
@@ -508,4 +510,7 @@ def _build() -> dict[str, str]:
     return q
 
 
-ORACLE_SQL: dict[str, str] = _build()
+@functools.cache
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL by query name, built on first use."""
+    return _build()
