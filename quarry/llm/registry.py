@@ -4,20 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import (crf, linededup, mixing, qualityrules, sharding, suffixdedup, tokencount,
+               urlfilter)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every copy goes here; the operator's default keeps the first."""
+    return suffixdedup.dedup_substrings(table(spark, sf, "documents"), min_len=400, keep="none")
+
+
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return qualityrules.judge(table(spark, sf, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return crf.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf, "documents"), shards=16)
 
 
-QUERIES = {
-    "op9_sharding": op9_sharding,
-}
+def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_quality_rules, op3_quality_classifier, op4_mixing, op5_line_dedup,
+    op8_token_counts, op9_sharding, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
