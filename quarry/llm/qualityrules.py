@@ -6,7 +6,8 @@ quantile sketch with a resolution of 1/1000 that merges by adding counts:
 one per (lang, source), merged into one per lang and one for all.  A group
 with fewer than ``min_docs`` documents uses the next larger sketch.  The
 threshold of a metric is its median plus a multiple of its spread above the
-median, and a document that exceeds any threshold of its group is rejected.
+median (the third quartile less the median, which a quarter of junk doesn't
+move), and a document that exceeds any threshold of its group is rejected.
 The spread is at least ``guard``, so that groups in which a metric is nearly
 constant don't reject ordinary documents.
 
@@ -29,8 +30,8 @@ from ..session import materialize
 #: metric: (guard, multiple) in thousandths of its base.
 METRICS = {
     "symbols": (50, 6),      # symbols per word character
-    "dup_lines": (150, 4),   # lines equal to an earlier line
-    "repeats": (150, 4),     # words in repeated 3-word windows
+    "dup_lines": (400, 4),   # lines equal to an earlier line
+    "repeats": (450, 4),     # words in repeated 3-word windows
     "shouting": (100, 6),    # A-Z and ! per word character
 }
 MIN_DOCS = 200
@@ -43,6 +44,7 @@ SPLIT = r"[\x20\x09-\x0D]+"
 
 def base_metrics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The base columns and the metrics of each document."""
+    keep = tuple(c for c in keep if c not in ("doc_id", "lang", "source"))
     d = docs.select("doc_id", "lang", "source", *keep,
                     F.coalesce(F.col("text"), F.lit("")).alias("__t"))
     d = d.select("doc_id", "lang", "source", *keep, "__t",
@@ -111,11 +113,11 @@ def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
           "'c', a.c + x.n, 'v', CASE WHEN a.v < 0 AND (a.c + x.n) * {d} >= docs * {m} "
           "THEN x.value ELSE a.v END)).v")
     hist = hist.select(*by, "metric", "docs", F.expr(at.format(m=1, d=2)).alias("q50"),
-                       F.expr(at.format(m=9, d=10)).alias("q90"))
+                       F.expr(at.format(m=3, d=4)).alias("q75"))
     limit = F.lit(None).cast("int")
     for m, (guard, multiple) in METRICS.items():
         limit = F.when(F.col("metric") == m, F.col("q50") + F.greatest(
-            F.lit(guard), F.lit(multiple) * (F.col("q90") - F.col("q50")))).otherwise(limit)
+            F.lit(guard), F.lit(multiple) * (F.col("q75") - F.col("q50")))).otherwise(limit)
     return hist.groupBy(*by).agg(F.max("docs").alias("docs"), *[
         F.max(F.when(F.col("metric") == m, limit)).alias(f"max_{m}") for m in METRICS])
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (crf, linededup, mixing, qualityrules, sharding, suffixdedup, tokencount,
-               urlfilter)
+from . import (crf, decontaminate, linededup, mixing, orderminhash, qualityrules, sharding,
+               suffixdedup, tokencount, urlfilter)
+from .oracle import oracle_sql  # noqa: F401
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,6 +34,14 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return orderminhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf, "documents"))
 
@@ -47,8 +56,4 @@ def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality_rules, op3_quality_classifier, op4_mixing, op5_line_dedup,
-    op8_token_counts, op9_sharding, op10_url_filters)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+    op6_decontamination, op7_minhash_near_dedup, op8_token_counts, op9_sharding, op10_url_filters)}

@@ -24,8 +24,10 @@ so the suffix array is sparse.
    previous smaller position of the longest-previous-factor array, the one
    after its mirror.
 5. Anchors with more than ``MAX_BUCKET`` different regions (a passage that a
-   third of all documents embed) aren't gathered: their windows are compared
-   by 128-bit digests in an ordinary aggregation.
+   third of all documents embed) aren't gathered.  Their regions are cut into
+   cells of ``CELL`` windows, keyed by what the windows of a cell share, and
+   steps 2 to 4 run on the cells; where even a cell has too many kinds, its
+   windows are compared by 128-bit digests in an ordinary aggregation.
 6. The runs of removed windows are gathered by text and cut out.
 
 Defined results: a null text is empty; texts shorter than ``min_len`` lose
@@ -50,7 +52,8 @@ from .textscan import Texts, mix, slices
 MIN_LEN = 400
 ANCHOR = 64
 TILE = 1 << 20
-MAX_BUCKET = 256
+MAX_BUCKET = 1024
+CELL = 12
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_ROWS = 1500
@@ -151,12 +154,14 @@ def anchors(keyed: DataFrame, min_len: int, k: int) -> DataFrame:
         scan, "h long, r1 long, r2 long, d long, th long, pos long, a long, z long")
 
 
-def equal_windows(gid, left, right, valid):
-    """(other, earlier): for region x and distance o from the anchor, whether
-    another region of the same group, or one before x, has the same window.
+def equal_windows(gid, left, right, valid, base):
+    """(other, earlier): for region x and distance base[x] + o from the anchor,
+    whether another region of the same group, or one before x, has the same
+    window.
 
     left: reversed bytes before the anchors, right: bytes from the anchors on
-    (padded), valid[x, o]: x has that window.  Regions are in text order."""
+    (padded), valid[x, o]: x has that window; base is the same in a group.
+    Regions are in text order."""
     n, reach = valid.shape
     size = right.shape[1]
 
@@ -174,11 +179,11 @@ def equal_windows(gid, left, right, valid):
 
     lo, llcp = classes(left)
     ro, rlcp = classes(right)
-    o = np.arange(reach)
+    o = base[:, None] + np.arange(reach)[None]
     cl = np.empty((n, reach), dtype=np.int64)
     cr = np.empty((n, reach), dtype=np.int64)
-    cl[lo] = np.cumsum(llcp[:, None] < o[None], axis=0)
-    cr[ro] = np.cumsum(rlcp[:, None] < (size - o)[None], axis=0)
+    cl[lo] = np.cumsum(llcp[:, None] < o[lo], axis=0)
+    cr[ro] = np.cumsum(rlcp[:, None] < size - o[ro], axis=0)
     key = np.where(valid, cl * (n + 1) + cr, -1 - np.arange(n)[:, None])
     order = np.argsort(key, axis=0, kind="stable")
     run = np.take_along_axis(key, order, axis=0)
@@ -204,31 +209,35 @@ def _runs(mask: np.ndarray):
     return row, first, last - 1
 
 
-def _resolve(contexts: DataFrame, min_len: int, k: int, first_stays: bool) -> DataFrame:
-    """(d, th, lo, hi): byte runs to remove, from regions sorted by anchor."""
+def _resolve(contexts: DataFrame, min_len: int, k: int, first_stays: bool,
+             cell: int | None = None) -> DataFrame:
+    """(d, th, lo, hi): byte runs to remove, from the regions of each anchor
+    or, with ``cell``, of each cell."""
     reach = min_len - k + 1
 
     def chunk(rows):
         # in text order; a row repeated in full is one text here
         rows = [r for _, r in sorted({(r[1], r[2], r[3], r[0]): r for r in rows}.items())]
         h = np.array([r[0] for r in rows])
-        n = len(rows)
+        n, width = len(rows), cell or reach
         left = np.zeros((n, reach), dtype=np.uint8)
         right = np.zeros((n, min_len), dtype=np.uint8)
-        valid = np.zeros((n, reach), dtype=bool)
+        valid = np.zeros((n, width), dtype=bool)
+        base = np.zeros(n, dtype=np.int64)
         for x, (_, _, _, pos, a, z, ctx) in enumerate(rows):
             c = np.frombuffer(ctx, dtype=np.uint8)
             at = pos - a                       # the anchor's place in the region
             left[x, :at] = c[:at][::-1]
             tail = c[at:at + min_len]
             right[x, :len(tail)] = tail
-            valid[x, pos - z:pos - a + 1] = True
-        other, earlier = equal_windows(np.unique(h, return_inverse=True)[1], left, right, valid)
+            base[x] = (pos - z) // cell * cell if cell else 0
+            valid[x, pos - z - base[x]:pos - a - base[x] + 1] = True
+        other, earlier = equal_windows(np.unique(h, return_inverse=True)[1], left, right, valid, base)
         row, o1, o2 = _runs(earlier if first_stays else other)
-        pos = np.array([r[3] for r in rows])[row]
+        near = np.array([r[3] for r in rows])[row] - base[row]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.array([r[1] for r in rows])[row]), pa.array(np.array([r[2] for r in rows])[row]),
-             pa.array(pos - o2), pa.array(pos - o1 + min_len)], ["d", "th", "lo", "hi"])
+             pa.array(near - o2), pa.array(near - o1 + min_len)], ["d", "th", "lo", "hi"])
 
     def resolve(batches):
         rows = []
@@ -241,8 +250,37 @@ def _resolve(contexts: DataFrame, min_len: int, k: int, first_stays: bool) -> Da
         if rows:
             yield chunk(rows)
 
-    return contexts.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(
-        resolve, "d long, th long, lo long, hi long")
+    return contexts.select("h", "d", "th", "pos", "a", "z", "ctx").repartition(F.col("h")) \
+        .sortWithinPartitions("h").mapInArrow(resolve, "d long, th long, lo long, hi long")
+
+
+def _cells(contexts: DataFrame, min_len: int) -> DataFrame:
+    """Regions cut into cells of ``CELL`` windows by distance from the anchor.
+    h: digest of what all windows of a cell have in common, with the cell's
+    place, so equal windows meet under one h; (r1, r2): digest of the cell."""
+    def cut(batches):
+        import xxhash
+        for b in batches:
+            out = []
+            for h, d, th, pos, a, z, ctx in zip(*(b.column(c).to_pylist() for c in (
+                    "h", "d", "th", "pos", "a", "z", "ctx"))):
+                for i in range((pos - z) // CELL, (pos - a) // CELL + 1):
+                    lo, hi = max(a, pos - i * CELL - CELL + 1), min(z, pos - i * CELL)
+                    at = pos - i * CELL - a
+                    core = ctx[at:at + min_len - CELL + 1]    # in every window of the cell
+                    cell = ctx[lo - a:hi - a + min_len]
+                    r = xxhash.xxh3_128_digest(cell, seed=pos - lo)
+                    out.append((xxhash.xxh3_64_intdigest(core, seed=(h ^ i) & (2 ** 64 - 1)) - 2 ** 63,
+                                d, th, pos, lo, hi, cell, int.from_bytes(r[:8], "big", signed=True),
+                                int.from_bytes(r[8:], "big", signed=True)))
+            names = ["h", "d", "th", "pos", "a", "z", "ctx", "r1", "r2"]
+            cols = list(zip(*out)) if out else [()] * 9
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=pa.binary() if x == "ctx" else pa.int64()) for x, c in zip(names, cols)],
+                names)
+
+    return contexts.mapInArrow(cut, "h long, d long, th long, pos long, a long, z long, ctx binary, "
+                                    "r1 long, r2 long")
 
 
 def _extract(keyed: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
@@ -322,8 +360,30 @@ def repeated_runs(docs_keyed: DataFrame, min_len: int, keep: str, k: int = ANCHO
     ctx = materialize(_extract(docs_keyed, todo.select("d", "th", "h", "pos", "a", "z"), min_len)
                       .join(many.filter(F.col("m") > max_bucket).select("h", F.lit(True).alias("hot")),
                             "h", "left"), "suffix_contexts")
-    return runs.unionByName(_resolve(ctx.filter("hot IS NULL").drop("hot"), min_len, k, first_stays)) \
-        .unionByName(_by_digest(ctx.filter("hot").drop("hot"), min_len, first_stays))
+    runs = runs.unionByName(_resolve(ctx.filter("hot IS NULL"), min_len, k, first_stays))
+    return runs.unionByName(_hot_runs(ctx.filter("hot"), min_len, k, first_stays, max_bucket))
+
+
+def _hot_runs(contexts: DataFrame, min_len: int, k: int, first_stays: bool, max_bucket: int):
+    """As _resolve, for anchors with too many regions to gather: the same
+    steps again for cells of a few windows, which most regions share in full
+    or not at all."""
+    cells = materialize(_cells(contexts, min_len), "suffix_cells")
+    met = cells.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    cells = materialize(cells.join(materialize(met, "suffix_cells_met"), "h"), "suffix_cells_open")
+    place = F.struct("d", "th", "pos", "a", "z", "ctx")
+    kinds = materialize(cells.groupBy("h", "r1", "r2").agg(
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "suffix_cell_kinds")
+    copied = cells.join(kinds.filter("n > 1").select("h", "r1", "r2", "first"), ["h", "r1", "r2"])
+    if first_stays:
+        copied = copied.filter(place != F.col("first"))
+    runs = copied.select("d", "th", F.col("a").alias("lo"), (F.col("z") + min_len).alias("hi"))
+    many = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    todo = materialize(kinds.join(materialize(many, "suffix_cells_many"), "h").select("h", "m", "first.*"),
+                       "suffix_cells_todo")
+    few, most = todo.filter(F.col("m") <= max_bucket), todo.filter(F.col("m") > max_bucket)
+    return runs.unionByName(_resolve(few, min_len, k, first_stays, CELL)) \
+        .unionByName(_by_digest(most, min_len, first_stays))
 
 
 def dedup_substrings(docs: DataFrame, min_len: int = MIN_LEN, keep: str = "first",

@@ -124,7 +124,7 @@ def range_hash(raw: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) ->
     """A 64-bit hash of each byte range raw[start:end], 8 bytes at a time; the
     ranges still running after a step are the only ones the next step touches."""
     size = end - start
-    h = mix(size.astype(np.uint64) + np.uint64(seed * 2 + 1) * np.uint64(0x9E3779B97F4A7C15))
+    h = mix(size.astype(np.uint64) + np.uint64((seed * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
     if not len(start):
         return h
     padded = raw + b"\0" * 8

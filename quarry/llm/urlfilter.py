@@ -41,7 +41,7 @@ RULES = (
     ("block", "net/fr/"),
 )
 DEFAULT = "allow"
-TRACKING = r"(?i)(^|&)(utm_[^=&]*|ref|fbclid|gclid)(=[^&]*)?(?=&|$)"
+TRACKING = r"(?i)^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 CANONICAL = (r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical[\"']?[^>]*?\bhref\s*=\s*"
              r"[\"']?([^\"'\s>]+)")
 CANONICAL_2 = (r"(?is)<link\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*?\brel\s*=\s*"
@@ -86,7 +86,7 @@ def canonical_form(url: Column) -> Column:
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"/+$", ""), r"\.html?$", "")
     query = F.regexp_extract(after_scheme(url), r"(?s)^[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, TRACKING, ""), r"^&+", "")
+    query = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
     form = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query))
                     .otherwise(F.lit("")))
     return F.when(host != "", form)
