@@ -202,7 +202,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     salted = materialize(salted, "near_pairs")
     rows = salted.select("centre", "salt", F.col("member").alias("node")).unionByName(
         salted.select("centre", "salt", F.col("centre").alias("node")).distinct())
-    rows = rows.join(texts, "node").withColumn("rest", F.col("node") != F.col("centre")) \
+    rows = rows.join(texts.select("node", "text"), "node").withColumn("rest", F.col("node") != F.col("centre")) \
         .repartition(F.col("centre"), F.col("salt")).sortWithinPartitions("centre", "salt", "rest")
 
     def run(batches):
@@ -251,15 +251,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, ell: int = ELL
         F.any_value("bands").alias("bands"))
     nodes = materialize(nodes.select("k1", "k2", "r.d", "r.th", "n", "bands")
                         .withColumn("node", _node("d", "th")), "near_nodes")
-    members = nodes.select("node", "n", "bands", F.posexplode("bands").alias("band", "sketch"))
+    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "sketch"))
     shared = members.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("c")).filter("c > 1") \
         .select("band", "sketch")
     members = materialize(members.join(materialize(shared, "near_buckets"), ["band", "sketch"]),
                           "near_members")
-    texts = keyed(docs).select("d", "th", "text").join(
+    # one plan at every size: what is involved grows with the input
+    texts = keyed(docs).select("d", "th", "text").hint("merge").join(
         materialize(members.select("node").distinct().join(nodes, "node")
-                    .select("node", "d", "th"), "near_involved"), ["d", "th"]) \
-        .dropDuplicates(["node"]).select("node", "text")
+                    .select("node", "d", "th", "bands"), "near_involved"), ["d", "th"]) \
+        .dropDuplicates(["node"]).select("node", "text", "bands")
     texts = materialize(texts, "near_texts")
     private = materialize(shared_shingles(texts), "near_private")
     # sharable shingles bound an alignment: a text with fewer than this share
@@ -340,7 +341,7 @@ def close(open_: DataFrame, texts: DataFrame, similarity: float, block: int) ->
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band", "sketch", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"),
-                       "own", "node", "root", "n", "c", "bands")
+                       "own", "node", "root", "n", "c")
     keys = ["band", "sketch", "i", "j"]
     rows = rows.join(texts, "node").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     share = _share(similarity)
