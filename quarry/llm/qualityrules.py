@@ -128,11 +128,11 @@ def thresholds(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     q = quantiles(own, ["lang", "source"]).alias("s")
     by_lang = quantiles(merge(own, ["lang"]), ["lang"]).alias("l")
     by_all = quantiles(merge(own, []).withColumn("__one", F.lit(1)), ["__one"]).alias("a")
-    groups = rows.select("lang", "source").distinct().alias("g")
+    groups = rows.select("lang", "source", F.lit(1).alias("__one")).distinct().alias("g")
     t = groups.join(q, F.col("g.lang").eqNullSafe(F.col("s.lang"))
                     & F.col("g.source").eqNullSafe(F.col("s.source")), "left") \
         .join(by_lang, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left") \
-        .join(F.broadcast(by_all), F.lit(True), "left")   # one row
+        .join(by_all, F.col("g.__one") == F.col("a.__one"), "left")
     return t.select("g.lang", "g.source", *[
         F.when(F.col("s.docs") >= min_docs, F.col(f"s.max_{m}"))
         .when(F.col("l.docs") >= min_docs, F.col(f"l.max_{m}"))
