@@ -26,6 +26,13 @@ TEST_YEARS = (2019, 2020, 2021)
 # Ranking convention (the original leaves tie order unspecified): scores are
 # compared at float32 precision, then by ascending doc id.
 
-# Size bounds for broadcasting a side that may grow with the data.
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Bytes up to which a side that may grow with the data is broadcast.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+# Joined rows per task from which a term's postings are spread over tasks, and
+# how many terms may be (the bound on rows rises with the input instead).
+ROWS_PER_SALT = 4_000_000
+MAX_HOT_TERMS = 100_000
+
+# Cells of one product tile of a dense kernel (8 bytes each).
+TILE_CELLS = 4_000_000

@@ -2,15 +2,17 @@
 
 Indexes are plain DataFrames in long form:
 
-* postings(doc_id, dl, term, tf) -- explode + count per (doc, term); the
-  partial aggregation finishes each document inside its task;
+* postings(doc_id, dl, term, tf) -- terms are counted inside the document's
+  row, so building them needs no exchange of text or tokens;
 * term_stats(term, df, idf) -- one aggregation keyed by term (partial
   aggregation before the shuffle, so a hot term costs one row per task).
 
-Scoring joins query terms to postings.  The query-term side is broadcast
-only after its row count is checked; beyond the bound the join is a shuffle
-on (term, salt) where postings of hot terms are spread over ``salts`` tasks.
-Scores are summed per (query, doc) and the top-k is a WindowGroupLimit.
+Both are written once; every statistic and scoring job reads them.  Scoring
+joins query terms to postings.  The query-term side is broadcast only after
+its bytes are summed; beyond the bound the join is a shuffle on (term, salt)
+where the postings of hot terms are spread over several tasks.  Postings are
+partitioned by document before the join, so scores are summed inside a task
+and the top-k is a WindowGroupLimit.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import (BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_MAX_ROWS,
-                      TFIDF_VOCAB_SIZE)
+from ..config import (BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_MAX_BYTES, MAX_HOT_TERMS,
+                      ROWS_PER_SALT, TFIDF_VOCAB_SIZE)
 from ..functions.stopwords import ENGLISH
-from ..functions.text import (ngram_range, remove_stop_words, text_as_string,
+from ..functions.text import (ngram_range, remove_stop_words, term_counts, text_as_string,
                               tokenize)
 from ..session import materialize
 from .ranking import top_k_per_query
@@ -34,9 +36,13 @@ def default_stop_words() -> list[str]:
     return list(ENGLISH)
 
 
-def rows_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows (reads at most limit+1)."""
-    return df.limit(limit + 1).count() <= limit
+def bytes_at_most(df: DataFrame, limit: int) -> bool:
+    """True when the rows of ``df`` take at most ``limit`` bytes (strings by
+    their length, other columns as 8 bytes, 16 per row)."""
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(8))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= limit
 
 
 def _scalar(df: DataFrame, expr: Column) -> Column:
@@ -57,54 +63,41 @@ class BM25Index:
 
 
 def count_terms(rows: DataFrame, key: list, tokens: Column, tf_col: str = "tf",
-                outer: bool = False) -> DataFrame:
-    """Explode a token-array expression and count per (key..., term).
-
-    The array is exploded inline (never first stored as a column: a stored
-    array would be carried along with every exploded row).  All rows of one
-    key come from one input row, so partial aggregation before the shuffle
-    already finishes each key; the shuffle carries distinct (key, term)
-    rows only, and none at all when the input is partitioned by the key."""
-    gen = F.explode_outer(tokens) if outer else F.explode(tokens)
-    e = rows.select(*key, gen.alias("term"))
-    names = [c for c in e.columns if c != "term"]
-    return e.groupBy(*names, "term").agg(F.count("term").cast("long").alias(tf_col))
-
-
-def by_document(corpus: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Co-locate each document's rows: one shuffle of the raw text keyed by
-    doc id, after which per-document aggregation (tf, length, norms) needs
-    no further exchange.  Cheaper than shuffling the postings twice, which
-    are larger than the text they come from."""
-    return corpus.repartition(F.col(id_col))
+                length_col: str | None = None) -> DataFrame:
+    """(key..., [length], term, tf): the terms of each row, counted inside it.
+    With ``length_col`` a row without tokens is kept, with a null term."""
+    t = rows.select(*key, tokens.alias("_tk"))
+    names = [c for c in t.columns if c != "_tk"]
+    extra = [F.size("_tk").cast("long").alias(length_col)] if length_col else []
+    t = t.select(*names, *extra, term_counts("_tk").alias("_tc"))
+    gen = F.explode_outer("_tc") if length_col else F.explode("_tc")
+    return t.select(*names, *([length_col] if length_col else []), gen.alias("_t")).select(
+        *names, *([length_col] if length_col else []), F.col("_t.term").alias("term"),
+        F.col("_t.tf").cast("long").alias(tf_col))
 
 
 def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON,
-               null_text: str = "", persist: bool = True) -> BM25Index:
-    """One pass over the text builds the postings; with ``persist`` they are
-    checkpointed, so corpus statistics, term statistics and every scoring
-    job read the index instead of re-tokenising the corpus."""
-    toks = tokenize(text_as_string(text_col, null_text))
-    # explode_outer keeps empty documents (term null, tf 0): they count in N
-    # and avgdl.  The length is the sum of a document's tf (a window over the
-    # doc's rows), not size(tokens) next to the explode -- a sibling
-    # expression of a generator is evaluated once per exploded row.
-    counts = count_terms(by_document(corpus, id_col), [F.col(id_col).alias("doc_id")], toks,
-                         outer=True)
-    postings_all = counts.withColumn(
-        "dl", F.sum("tf").over(Window.partitionBy("doc_id")).cast("long")) \
-        .select("doc_id", "dl", "term", "tf")
-    if persist:
-        postings_all = materialize(postings_all)
-    doc_stats = postings_all.select("doc_id", "dl").distinct()
-    n_docs = _scalar(doc_stats, F.count(F.lit(1)).cast("double"))
-    avgdl = _scalar(doc_stats, F.avg("dl"))
-    postings = postings_all.filter(F.col("term").isNotNull())
+               null_text: str = "") -> BM25Index:
+    """One pass over the text builds the postings, without an exchange; they
+    and the term statistics are written once."""
+    docs = corpus.select(F.col(id_col).alias("doc_id"),
+                         tokenize(text_as_string(text_col, null_text)).alias("_tk"))
+    docs = docs.select("doc_id", F.size("_tk").cast("long").alias("dl"),
+                       term_counts("_tk").alias("_tc"))
+    # empty documents keep one row (term null): they count in N and avgdl
+    rows = docs.select("doc_id", "dl", F.posexplode_outer("_tc").alias("_pos", "_t"))
+    rows = materialize(rows.select("doc_id", "dl", (F.coalesce("_pos", F.lit(0)) == 0).alias("_head"),
+                                   F.col("_t.term").alias("term"),
+                                   F.col("_t.tf").cast("long").alias("tf")), "postings")
+    stats = rows.filter("_head").agg(F.count(F.lit(1)).cast("double").alias("n"),
+                                     F.avg("dl").alias("avgdl"))
+    stats = materialize(stats, "doc_stats")
+    n_docs, avgdl = _scalar(stats, F.col("n")), _scalar(stats, F.col("avgdl"))
+    postings = rows.filter(F.col("term").isNotNull()).select("doc_id", "dl", "term", "tf")
     df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    # term statistics re-aggregate the written postings where used (cheap)
-    with_raw = df_.withColumn("raw_idf", raw)
+    with_raw = materialize(df_.withColumn("raw_idf", raw), "term_stats")
     mean_raw = _scalar(with_raw, F.avg("raw_idf"))
     term_stats = with_raw.withColumn(
         "idf", F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_raw)
@@ -120,28 +113,35 @@ def query_term_counts(queries: DataFrame, id_col: str = "query_id",
 
 
 def term_match_join(postings: DataFrame, query_terms: DataFrame,
-                    max_broadcast_rows: int = BROADCAST_MAX_ROWS,
-                    hot_df: int | None = None, salts: int = 32,
-                    term_df: DataFrame | None = None) -> DataFrame:
-    """postings(term, ...) JOIN query_terms(term, ...) on term.
-
-    Small query side (row count checked): broadcast, postings stream through
-    with no shuffle.  Otherwise: shuffle join on (term, salt); a term whose
-    document frequency exceeds ``hot_df`` has its postings spread over
-    ``salts`` tasks and its (few) query rows copied to each."""
-    if rows_at_most(query_terms, max_broadcast_rows):
-        return postings.join(F.broadcast(query_terms), "term")
-    if term_df is None:
-        term_df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if hot_df is None:
-        hot_df = 1_000_000
-    hot = term_df.filter(F.col("df") > hot_df).select("term", F.lit(True).alias("_hot"))
-    p = postings.join(hot, "term", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-                  .otherwise(F.lit(0))).drop("_hot")
-    q = query_terms.join(hot, "term", "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+                    max_broadcast_bytes: int = BROADCAST_MAX_BYTES,
+                    rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """postings(doc_id, term, ...) JOIN query_terms(term, ...) on term.
+
+    A query side within ``max_broadcast_bytes`` is broadcast: postings of its
+    terms go to their document's task and the join adds no exchange, so sums
+    by (query, document) need none either.  Otherwise: a shuffle join on
+    (term, salt).  A term's cost is its postings times its query rows; one
+    that costs more than ``rows_per_salt`` has its postings spread over as
+    many salts, and its query rows copied to each.  The costly terms are few
+    by choice of that bound (at most ``MAX_HOT_TERMS``) and reach the
+    postings as a broadcast, never as a join on the bare term."""
+    if bytes_at_most(query_terms, max_broadcast_bytes):
+        wanted = F.broadcast(query_terms.select("term").distinct())
+        return postings.join(wanted, "term", "left_semi").repartition(F.col("doc_id")) \
+            .join(F.broadcast(query_terms), "term")
+    df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    qf = query_terms.groupBy("term").agg(F.count(F.lit(1)).alias("qf"))
+    cost = materialize(df_.join(qf, "term").select("term", (F.col("df") * F.col("qf")).alias("cost")),
+                       "term_cost")
+    total = cost.agg(F.sum("cost")).first()[0] or 0
+    bound = max(rows_per_salt, -(-total // MAX_HOT_TERMS))
+    hot = cost.filter(F.col("cost") > bound).select(
+        "term", F.ceil(F.col("cost") / bound).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    p = postings.join(F.broadcast(hot), "term", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("_salts")
+    q = query_terms.join(F.broadcast(hot), "term", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return p.join(q, ["term", "_salt"]).drop("_salt")
 
 
@@ -161,13 +161,14 @@ def bm25_scores(index: BM25Index, queries: DataFrame, id_col: str = "query_id",
     tf = F.col("tf")
     norm = tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / index.avgdl)
     post = index.postings.select("term", "doc_id", ((tf * F.lit(k1 + 1)) / norm).alias("wd"))
-    j = term_match_join(post, qt, term_df=index.term_stats, **join_opts)
+    j = term_match_join(post, qt, **join_opts)
     return j.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
-def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, **opts) -> DataFrame:
-    index = bm25_index(corpus)
-    return top_k_per_query(bm25_scores(index, queries, **opts), k)
+def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, k1: float = BM25_K1,
+               b: float = BM25_B, epsilon: float = BM25_EPSILON, **join_opts) -> DataFrame:
+    index = bm25_index(corpus, k1=k1, b=b, epsilon=epsilon)
+    return top_k_per_query(bm25_scores(index, queries, **join_opts), k)
 
 
 # ------------------------------------------------------------------- TF-IDF
@@ -186,10 +187,9 @@ def analyze(col, ngram: tuple[int, int], stop_words: list[str], null_text: str =
     return ngram_range(toks, ngram[0], ngram[1])
 
 
-def ngram_counts(corpus: DataFrame, ngram, stop_words, id_col="doc_id",
+def ngram_counts(rows: DataFrame, ngram, stop_words, id_col="doc_id",
                  text_col="text") -> DataFrame:
-    return count_terms(corpus, [F.col(id_col).alias("doc_id")],
-                       analyze(text_col, ngram, stop_words))
+    return count_terms(rows, [F.col(id_col).alias("doc_id")], analyze(text_col, ngram, stop_words))
 
 
 def top_k_vocabulary(term_stats: DataFrame, size: int = TFIDF_VOCAB_SIZE) -> DataFrame:
@@ -202,23 +202,30 @@ def tfidf_index(corpus: DataFrame, ngram: tuple[int, int] = (1, 1),
                 vocab_size: int = TFIDF_VOCAB_SIZE, stop_words: list[str] | None = None,
                 vocab_corpus: DataFrame | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> TfidfIndex:
+    """Two passes over the text: term counts for the vocabulary (aggregated on
+    the map side), then the weights of the vocabulary's terms only."""
     if stop_words is None:
         stop_words = default_stop_words()
-    counts = materialize(ngram_counts(by_document(corpus, id_col), ngram, stop_words,
-                                      id_col, text_col))
-    fit_counts = counts if vocab_corpus is None else ngram_counts(
-        vocab_corpus, ngram, stop_words, id_col, text_col)
-    stats = fit_counts.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"),
-                                           F.count(F.lit(1)).alias("df"))
     fit_docs = corpus if vocab_corpus is None else vocab_corpus
+    stats = ngram_counts(fit_docs, ngram, stop_words, id_col, text_col).groupBy("term").agg(
+        F.sum("tf").cast("long").alias("cf"), F.count(F.lit(1)).alias("df"))
     n = _scalar(fit_docs, F.count(F.lit(1)).cast("double"))
     vocab = materialize(top_k_vocabulary(stats, vocab_size).withColumn(
-        "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)))
-    # the vocabulary has at most vocab_size rows: safe to broadcast
-    w = counts.join(F.broadcast(vocab.select("term", "idf")), "term") \
-        .withColumn("w", F.col("tf") * F.col("idf"))
-    w = materialize(_l2_normalise(w, "doc_id").select("doc_id", "term", "w"))
-    return TfidfIndex(w, vocab, ngram, stop_words)
+        "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)), "vocabulary")
+    index = TfidfIndex(None, vocab, ngram, stop_words)
+    counts = ngram_counts(corpus, ngram, stop_words, id_col, text_col)
+    index.weights = materialize(_l2_normalise(_weigh(counts, index), "doc_id")
+                                .select("doc_id", "term", "w"), "weights")
+    return index
+
+
+def _weigh(counts: DataFrame, index: TfidfIndex) -> DataFrame:
+    """tf * idf of the vocabulary's terms; the vocabulary is broadcast when
+    its bytes allow it."""
+    side = index.vocab.select("term", "idf")
+    if bytes_at_most(side, BROADCAST_MAX_BYTES):
+        side = F.broadcast(side)
+    return counts.join(side, "term").withColumn("w", F.col("tf") * F.col("idf"))
 
 
 def _l2_normalise(w: DataFrame, key: str) -> DataFrame:
@@ -232,10 +239,8 @@ def tfidf_query_weights(index: TfidfIndex, queries: DataFrame, id_col="query_id"
                         text_col="query_text") -> DataFrame:
     q = ngram_counts(queries, index.ngram, index.stop_words, id_col, text_col) \
         .withColumnRenamed("doc_id", "query_id")
-    q = q.join(F.broadcast(index.vocab.select("term", "idf")), "term") \
-         .withColumn("w", F.col("tf") * F.col("idf"))
-    return _l2_normalise(q, "query_id").select("query_id", "term",
-                                               F.col("w").alias("qw"))
+    return _l2_normalise(_weigh(q, index), "query_id").select(
+        "query_id", "term", F.col("w").alias("qw"))
 
 
 def tfidf_scores(index: TfidfIndex, queries: DataFrame, id_col="query_id",
@@ -247,6 +252,8 @@ def tfidf_scores(index: TfidfIndex, queries: DataFrame, id_col="query_id",
 
 
 def tfidf_top_k(corpus: DataFrame, queries: DataFrame, k: int = 10,
-                ngram: tuple[int, int] = (1, 1), **opts) -> DataFrame:
-    index = tfidf_index(corpus, ngram=ngram)
-    return top_k_per_query(tfidf_scores(index, queries, **opts), k)
+                ngram: tuple[int, int] = (1, 1), vocab_size: int = TFIDF_VOCAB_SIZE,
+                stop_words: list[str] | None = None, vocab_corpus: DataFrame | None = None,
+                **join_opts) -> DataFrame:
+    index = tfidf_index(corpus, ngram, vocab_size, stop_words, vocab_corpus)
+    return top_k_per_query(tfidf_scores(index, queries, **join_opts), k)

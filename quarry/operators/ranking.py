@@ -48,34 +48,16 @@ def score_pair_filter(run: DataFrame, corpus: DataFrame, doc_col: str = "doc_id"
     return run.join(corpus.select(doc_col), doc_col, "left_semi")
 
 
-def scores_for_all(run: DataFrame, queries: DataFrame, corpus: DataFrame,
-                   max_pairs: int = 50_000_000, query_col: str = "query_id",
-                   doc_col: str = "doc_id", score_col: str = "score") -> DataFrame:
-    """Every (query, doc) score with zeros filled in: the dense score table
-    of a small query set.  The query ids are broadcast (bounded: the pair
-    count is checked) and each corpus batch emits its pairs, so no join
-    builds the product; the run is then left-joined on (query, doc)."""
-    import numpy as np
-    import pyarrow as pa
-
-    spark = corpus.sparkSession
-    n_docs = corpus.count()
-    max_q = max(1, max_pairs // max(n_docs, 1))
-    qids = queries.select(query_col).limit(max_q + 1).toArrow().column(0).to_numpy()
-    if len(qids) > max_q:
-        raise OverflowError("scores_for_all: query x corpus exceeds max_pairs")
-    bq = spark.sparkContext.broadcast(np.asarray(qids, dtype=np.int64))
-
-    def pairs(batches):
-        q = bq.value
-        for b in batches:
-            d = b.column(0).to_numpy().astype(np.int64)
-            if len(d) == 0 or len(q) == 0:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q, len(d))), pa.array(np.tile(d, len(q)))],
-                names=[query_col, doc_col])
-
-    grid = corpus.select(doc_col).mapInArrow(pairs, f"{query_col} long, {doc_col} long")
-    return grid.join(run.select(query_col, doc_col, score_col), [query_col, doc_col], "left") \
-        .withColumn(score_col, F.coalesce(F.col(score_col), F.lit(0.0)))
+def score_profiles(run: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, n_docs, n_scored, total, top): the zero-filled score table of
+    each query, summed up in closed form -- unscored docs add nothing to the
+    total and 0 to the maximum -- so the table itself is never built."""
+    n = corpus.select(F.count(F.lit(1))).scalar()
+    got = run.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_scored"), F.sum("score").alias("total"),
+                                      F.max("score").alias("top"))
+    out = queries.select("query_id").join(got, "query_id", "left").withColumn("n_docs", n)
+    scored = F.coalesce("n_scored", F.lit(0))
+    return out.select(
+        "query_id", "n_docs", scored.alias("n_scored"), F.coalesce("total", F.lit(0.0)).alias("total"),
+        F.when(scored == F.col("n_docs"), F.col("top"))
+        .otherwise(F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0))).alias("top"))

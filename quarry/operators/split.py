@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import TEST_YEARS, TRAIN_BEFORE_YEAR, VAL_YEARS
 from ..functions.text import text_as_string
+from ..session import materialize
 
 
 def paragraph_year(paragraphs: DataFrame, date_col: str = "date") -> DataFrame:
@@ -123,9 +124,10 @@ def train_queries(edges: DataFrame, paragraphs: DataFrame, null_text: str = "",
                       F.col("n_targets").alias("n_relevant"))
 
 
-def prepare_retrieval_task(paragraphs: DataFrame, edges: DataFrame, validate: bool = False,
+def prepare_retrieval_task(paragraphs: DataFrame, edges: DataFrame, validate: bool = True,
                            null_text: str = "", **years) -> dict[str, DataFrame]:
-    """corpus, test queries, qrels, training queries and validation queries."""
+    """corpus, test queries, qrels, training queries and validation queries.
+    Paragraph ids must be unique; ``validate`` raises where they aren't."""
     if validate:
         assert_unique(paragraphs, "par_id")
     corpus = candidate_corpus(paragraphs, null_text, **years)
@@ -143,20 +145,33 @@ def prepare_retrieval_task(paragraphs: DataFrame, edges: DataFrame, validate: bo
 
 def split_counts(task: dict[str, DataFrame], edges: DataFrame, paragraphs: DataFrame,
                  **years) -> DataFrame:
-    """Row counts per stage, as one (stage, n) table built by a single
-    aggregation over a union of labelled ids."""
-    split = task["split"]
-    parts = [
-        split.filter(F.col("split") == s).select(F.lit(f"{s}_paragraphs").alias("stage"))
-        for s in ("train", "val", "test")
-    ]
-    parts.append(test_sources(edges, paragraphs, **years).select(F.lit("test_sources").alias("stage")))
-    parts.append(task["kept_sources"].select(F.lit("kept_test_sources").alias("stage")))
-    parts.append(task["queries"].select(F.lit("test_queries").alias("stage")))
-    parts.append(task["qrels"].select(F.lit("qrels").alias("stage")))
-    parts.append(task["corpus"].select(F.lit("corpus").alias("stage")))
-    parts.append(task["train_queries"].select(F.lit("train_queries").alias("stage")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    """Row counts per stage, as one (stage, n) table.
+
+    The split label of every paragraph and both ends of every edge are written
+    once (ids only); all stages are aggregations of these two tables."""
+    labels = materialize(temporal_split(paragraphs, **years).select("par_id", "split"), "labels")
+    source = labels.select(F.col("par_id").alias("par_id_from"), F.col("split").alias("from"))
+    target = labels.select(F.col("par_id").alias("par_id_to"), F.col("split").alias("to"))
+    ends = edges.filter(F.col("par_id_from").isNotNull()).join(source, "par_id_from", "left") \
+        .join(target, "par_id_to", "left")
+    # per citing paragraph: is any target in the test years, which distinct
+    # targets lie in the corpus
+    to = F.when(F.col("to").isin("train", "val"), F.col("par_id_to"))
+    per = materialize(ends.filter(F.col("from").isin("train", "test")).groupBy("par_id_from", "from")
+                      .agg(F.max(F.coalesce((F.col("to") == "test").cast("int"), F.lit(0))).alias("within"),
+                           F.count_distinct(to).alias("judged")), "sources")
+    test = F.col("from") == "test"
+    kept = test & (F.col("within") == 0)
+
+    a = per.select(F.explode(F.array(
+        F.struct(F.lit("test_sources").alias("stage"), test.cast("long").alias("n")),
+        F.struct(F.lit("kept_test_sources").alias("stage"), kept.cast("long").alias("n")),
+        F.struct(F.lit("test_queries").alias("stage"), (kept & (F.col("judged") > 0)).cast("long").alias("n")),
+        F.struct(F.lit("qrels").alias("stage"), F.when(kept, F.col("judged")).otherwise(0).alias("n")),
+        F.struct(F.lit("train_queries").alias("stage"), (F.col("from") == "train").cast("long").alias("n")),
+    )).alias("x")).select("x.stage", "x.n")
+    b = labels.filter(F.col("split").isNotNull()).select(
+        F.concat("split", F.lit("_paragraphs")).alias("stage"), F.lit(1).cast("long").alias("n"))
+    c = labels.filter(F.col("split").isin("train", "val")).select(
+        F.lit("corpus").alias("stage"), F.lit(1).cast("long").alias("n"))
+    return a.unionByName(b).unionByName(c).groupBy("stage").agg(F.sum("n").alias("n"))

@@ -45,8 +45,9 @@ def training_batches(pairs: DataFrame, id_cols: list[str], seed: int = 42,
 
 
 def subset_bucket(id_col: str = "query_id"):
-    """A fixed pseudo-random bucket 0..99 per id (integer arithmetic)."""
-    return F.pmod(F.col(id_col) * 7919 + 13, F.lit(100))
+    """A fixed pseudo-random bucket 0..99 per id, from its md5 digest."""
+    digest = F.md5(F.concat(F.lit("subset:"), F.col(id_col).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(100))
 
 
 def nested_train_subsets(train_queries: DataFrame, step: int = 10) -> DataFrame:
@@ -61,9 +62,3 @@ def nested_train_subsets(train_queries: DataFrame, step: int = 10) -> DataFrame:
     w = Window.orderBy("fraction").rowsBetween(Window.unboundedPreceding, 0)
     return g.select("fraction", F.sum("nq").over(w).cast("long").alias("n_queries"),
                     F.sum("npairs").over(w).cast("long").alias("n_pairs"))
-
-
-def subset_membership(train_queries: DataFrame, step: int = 10) -> DataFrame:
-    """(query_id, min_fraction): the smallest subset containing the query."""
-    return train_queries.select("query_id", (F.floor(subset_bucket("query_id") / step) * step
-                                             + step).cast("long").alias("min_fraction"))

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EVAL_K_VALUES
 from ..functions.text import remove_stop_words, tokenize, word_ngrams
 from ..operators import dense, evaluate, lexical, pairs, ranking, split, training
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import files
 from . import tasks
 
@@ -54,7 +55,7 @@ def _tfidf_run(spark, sf, ngram):
 def _temporal(spark, sf):
     par = tasks.paragraphs(spark, sf)
     edges = tasks.citations(spark, sf)
-    return par, edges, split.prepare_retrieval_task(par, edges)
+    return par, edges, split.prepare_retrieval_task(par, edges, validate=True)
 
 
 def _score(c="score"):
@@ -139,21 +140,24 @@ SUMMARY_HEADERS = [("method", "Method"), ("recall_at_1", "Recall@1"), ("recall_a
                    ("ndcg_at_10", "nDCG@10"), ("mrr", "MRR"), ("map", "MAP")]
 
 
-def _dense_summary(spark, sf):
-    q = tasks.dense_queries(spark, sf)
-    c = tasks.dense_vectors(spark, sf)
-    run = dense.query_doc_scores(q, c, exclude_self=True)
-    corpus_ids = c.select("doc_id")
-    return evaluate.model_summary({"Dense-cosine": run}, tasks.dense_qrels(spark, sf), corpus_ids)
+def _dense_ranks(spark, sf):
+    return dense.relevant_ranks(tasks.dense_queries(spark, sf), tasks.dense_vectors(spark, sf),
+                                tasks.dense_qrels(spark, sf), exclude_self=True)
 
 
-def q_write_summary_csv(spark, sf):
-    path = scratch_path(spark, "summary_csv")
-    files.write_summary_csv(_dense_summary(spark, sf), path, SUMMARY_HEADERS)
+def _through_csv(spark, summary, name):
+    """The summary as text, written to a CSV file and read back."""
+    path = scratch_path(spark, name)
+    files.write_summary_csv(summary, path, SUMMARY_HEADERS)
     schema = ", ".join(f"`{h}` string" for _, h in SUMMARY_HEADERS)
     return spark.read.schema(schema).option("header", "true").csv(path)
 
 
+def q_write_summary_csv(spark, sf):
+    ranks = _dense_ranks(spark, sf).withColumn("model", F.lit("Dense-cosine"))
+    return _through_csv(spark, evaluate.summarize(ranks, ["Dense-cosine"]), "summary_csv")
+
+
 # ------------------------------------------------- projections / functions
 
 def q_paragraph_year(spark, sf):
@@ -194,13 +198,15 @@ def q_remove_stop_words(spark, sf):
 def q_word_ngrams(spark, sf):
     d = tasks.lexical_corpus(spark, sf).select("doc_id", word_ngrams(tokenize("text"), 2).alias("g"))
     return d.select("doc_id", F.size("g").cast("long").alias("n_ngrams"),
-                    F.size(F.array_distinct("g")).cast("long").alias("n_distinct_ngrams"))
+                    F.size(F.array_distinct("g")).cast("long").alias("n_distinct_ngrams"),
+                    F.md5(F.array_join("g", "|")).alias("ngrams_md5"))
 
 
 def q_score_pair_filter(spark, sf):
-    run = ranking.top_k_per_query(_bm25_run(spark, sf), 20)
+    """Every scored doc passes the filter; the best 20 of what is left."""
     labelled = tasks.table(spark, sf, "labels").select("doc_id")
-    return _run_cols(ranking.score_pair_filter(run, labelled))
+    run = ranking.score_pair_filter(_bm25_run(spark, sf), labelled)
+    return _run_cols(ranking.top_k_per_query(run, 20))
 
 
 # ------------------------------------------------------------------- joins
@@ -244,9 +250,10 @@ def q_term_match_join(spark, sf):
 
 
 def q_query_doc_cross(spark, sf):
-    run = dense.query_doc_scores(tasks.dense_queries(spark, sf), tasks.dense_vectors(spark, sf),
-                                 exclude_self=True)
-    return run.select("query_id", "doc_id", _score())
+    """Each query against every doc, summed up per query."""
+    out = dense.score_profiles(tasks.dense_queries(spark, sf), tasks.dense_vectors(spark, sf),
+                               exclude_self=True)
+    return out.select("query_id", "n_docs", _r("mean_score"), _score("max_score"))
 
 
 # ------------------------------------------------------------ aggregations
@@ -330,9 +337,7 @@ def q_set_overlap(spark, sf):
 
 
 def q_top_k_per_query(spark, sf):
-    run = dense.query_doc_scores(tasks.dense_queries(spark, sf), tasks.dense_vectors(spark, sf),
-                                 exclude_self=True)
-    return _run_cols(ranking.top_k_per_query(run, 5))
+    return _run_cols(ranking.top_k_per_query(_bm25_run(spark, sf), 5))
 
 
 def q_full_ranking(spark, sf):
@@ -346,9 +351,10 @@ def q_batch_retrieve(spark, sf):
 
 
 def q_scores_for_all(spark, sf):
+    """The zero-filled score table, summed up per query."""
     corpus, queries, _ = _lexical(spark, sf)
-    full = ranking.scores_for_all(_bm25_run(spark, sf), queries, corpus)
-    return full.select("query_id", "doc_id", _score())
+    out = ranking.score_profiles(_bm25_run(spark, sf), queries, corpus)
+    return out.select("query_id", "n_docs", "n_scored", _score("total"), _score("top"))
 
 
 # ------------------------------------------------------- retrieval models
@@ -408,7 +414,8 @@ def _lex_pq(spark, sf):
 
 
 def q_recall_at_k(spark, sf):
-    return evaluate.mean_over_queries(_lex_pq(spark, sf), ["recall_at_10"]).select(_r("recall_at_10"))
+    names = [f"recall_at_{k}" for k in EVAL_K_VALUES]
+    return evaluate.mean_over_queries(_lex_pq(spark, sf), names).select(*[_r(c) for c in names])
 
 
 def q_mrr(spark, sf):
@@ -498,52 +505,77 @@ def q_nested_train_subsets(spark, sf):
 # --------------------------------------------------------------- pipelines
 
 def q_prepare_retrieval_task(spark, sf):
-    _, _, task = _temporal(spark, sf)
-    judged = task["qrels"].groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    return task["queries"].join(judged, "query_id").select(
-        "query_id", _md5("query_text").alias("query_text_md5"), "n_relevant")
+    """Every table of the task, row by row: (part, id, other, text_md5)."""
+    task = split.prepare_retrieval_task(tasks.paragraphs(spark, sf), tasks.citations(spark, sf),
+                                        validate=True)
+    none = F.lit(None).cast("string")
+
+    def rows(part, other=none, text=None, key="query_id"):
+        return task[part].select(F.lit(part).alias("part"), F.col(key).alias("id"),
+                                 other.alias("other"), (_md5(text) if text else none).alias("text_md5"))
+
+    out = rows("corpus", text="text", key="doc_id")
+    for part in (rows("queries", text="query_text"), rows("val_queries", text="query_text"),
+                 rows("qrels", F.col("doc_id").cast("string")),
+                 rows("train_queries", _ids("relevant_docs"), "query_text")):
+        out = out.unionByName(part)
+    return out
 
 
 def q_prepare_split_jsonl(spark, sf):
+    """Every row of the four files: (file, id, n_relevant, text_md5)."""
     from ..operators.splitfiles import write_split_jsonl
     out = write_split_jsonl(tasks.split_edges(spark, sf), tasks.paragraphs(spark, sf),
                             scratch_path(spark, "split_jsonl"))
-    parts = [files.read_jsonl(spark, out[n], files.QUERY_JSONL_SCHEMA)
-             .select(F.lit(n).alias("file"), F.lit(1).alias("one"),
-                     F.size("relevant_docs").cast("long").alias("np"))
-             for n in files.SPLIT_NAMES]
-    parts.append(files.read_jsonl(spark, out["corpus"], files.CORPUS_JSONL_SCHEMA)
-                 .select(F.lit("corpus").alias("file"), F.lit(1).alias("one"),
-                         F.lit(0).cast("long").alias("np")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"),
-                                 F.sum("np").cast("long").alias("n_relevant"))
+    u = files.read_jsonl(spark, out["corpus"], files.CORPUS_JSONL_SCHEMA).select(
+        F.lit("corpus").alias("file"), F.col("doc_id").alias("id"),
+        F.lit(0).cast("long").alias("n_relevant"), _md5("text").alias("text_md5"))
+    for n in files.SPLIT_NAMES:
+        u = u.unionByName(files.read_jsonl(spark, out[n], files.QUERY_JSONL_SCHEMA).select(
+            F.lit(n).alias("file"), F.col("query_id").alias("id"),
+            F.size("relevant_docs").cast("long").alias("n_relevant"),
+            _md5("query_text").alias("text_md5")))
+    return u
+
+
+def _task(spark, sf):
+    """The temporal task, its parts written once: every model below indexes
+    the same corpus and is judged by the same judgements."""
+    task = split.prepare_retrieval_task(tasks.paragraphs(spark, sf), tasks.citations(spark, sf),
+                                        validate=True)
+    return [materialize(task[p], f"task_{p}") for p in ("corpus", "queries", "qrels")]
+
+
+def _task_lexical(corpus, queries):
+    runs = {"BM25": lexical.bm25_scores(lexical.bm25_index(corpus), queries)}
+    for n in (1, 2):
+        runs[f"TF-IDF-{n}gr"] = lexical.tfidf_scores(lexical.tfidf_index(corpus, ngram=(1, n)), queries)
+    return runs
+
+
+def _task_dense(corpus, queries, qrels):
+    cv = materialize(dense.encode_texts(corpus, "text", "doc_id"), "corpus_vectors")
+    qv = materialize(dense.encode_texts(queries, "query_text", "query_id"), "query_vectors")
+    return dense.relevant_ranks(qv, cv, qrels).withColumn("model", F.lit("HashEnc-64"))
 
 
 def q_lexical_benchmark(spark, sf):
-    corpus, _, qrels = _lexical(spark, sf)
-    s = evaluate.model_summary(_lexical_runs(spark, sf), qrels, corpus)
-    path = scratch_path(spark, "lexical_summary_csv")
-    files.write_summary_csv(s, path, SUMMARY_HEADERS)
-    schema = ", ".join(f"`{h}` string" for _, h in SUMMARY_HEADERS)
-    return spark.read.schema(schema).option("header", "true").csv(path)
+    corpus, queries, qrels = _task(spark, sf)
+    s = evaluate.model_summary(_task_lexical(corpus, queries), qrels, corpus)
+    return _through_csv(spark, s, "lexical_summary_csv")
 
 
 def q_dense_benchmark(spark, sf):
-    s = _dense_summary(spark, sf)
-    return s.select("method", *[_r(c) for c in evaluate.metric_names()], "n_queries")
+    s = evaluate.summarize(_task_dense(*_task(spark, sf)), ["HashEnc-64"])
+    return _through_csv(spark, s, "dense_summary_csv")
 
 
 def q_combined_benchmark(spark, sf):
-    corpus, queries, qrels = _lexical(spark, sf)
-    runs = _lexical_runs(spark, sf)
-    cv = dense.encode_texts(corpus, "text", "doc_id")
-    qv = dense.encode_texts(queries, "query_text", "query_id")
-    runs["HashEnc-64"] = dense.query_doc_scores(qv, cv)
-    s = evaluate.model_summary(runs, qrels, corpus)
-    return s.select("method", *[_r(c) for c in evaluate.metric_names()], "n_queries")
+    corpus, queries, qrels = _task(spark, sf)
+    runs = _task_lexical(corpus, queries)
+    lex = evaluate.model_summary(runs, qrels, corpus)
+    s = lex.unionByName(evaluate.summarize(_task_dense(corpus, queries, qrels), ["HashEnc-64"]))
+    return _through_csv(spark, s, "combined_summary_csv")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

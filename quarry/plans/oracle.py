@@ -101,7 +101,7 @@ DENSE = ["""dvec AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS vec
                      FROM embeddings)""",
          """dq AS (SELECT doc_id AS query_id, vec, label FROM dvec)""",
          """dqrels AS (SELECT q.query_id, d.doc_id FROM dq q JOIN dvec d ON d.label = q.label
-                       WHERE q.query_id <> d.doc_id)""",
+                       WHERE d.doc_id BETWEEN q.query_id + 1 AND q.query_id + 10)""",
          """dscore AS (
   SELECT q.query_id, d.doc_id,
          list_dot_product(q.vec, d.vec)
@@ -341,10 +341,13 @@ def _build() -> dict[str, str]:
           SELECT doc_id, list_filter({tok('text')}, lambda t: NOT list_contains({stop_list()}, t)) AS tk
           FROM documents)"""
     q["word_ngrams"] = f"""SELECT doc_id, CAST(len(g) AS BIGINT) AS n_ngrams,
-        CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct_ngrams FROM (
+        CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct_ngrams,
+        md5(coalesce(array_to_string(g, '|'), '')) AS ngrams_md5 FROM (
           SELECT doc_id, {bigrams('tk')} AS g FROM (SELECT doc_id, {tok('text')} AS tk FROM documents))"""
-    q["score_pair_filter"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + \
-        f"SELECT * FROM ({top_k('bm_run', 20)}) WHERE doc_id IN (SELECT doc_id FROM labels)"
+    q["score_pair_filter"] = with_(
+        LEXICAL, bm25("bm", "lcorpus", "lqueries"),
+        "lab_run AS (SELECT * FROM bm_run WHERE doc_id IN (SELECT doc_id FROM labels))") + \
+        top_k("lab_run", 20)
     # joins
     q["edge_source_year"] = with_(T) + "SELECT par_id_from, par_id_to, year FROM edge_year"
     q["edge_text_lookup"] = with_(PARAGRAPHS, CITATIONS, PSPLIT, SPLIT_EDGES) + """
@@ -361,8 +364,9 @@ def _build() -> dict[str, str]:
     q["term_match_join"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + """
       SELECT q.query_id, p.doc_id, count(*) AS n_shared_terms
       FROM bm_qt q JOIN bm_post p ON p.term = q.term GROUP BY q.query_id, p.doc_id"""
-    q["query_doc_cross"] = with_(DENSE) + \
-        "SELECT query_id, doc_id, CAST(score AS FLOAT) AS score FROM dscore"
+    q["query_doc_cross"] = with_(DENSE) + """
+      SELECT query_id, count(*) AS n_docs, round(avg(score), 6) AS mean_score,
+             CAST(max(score) AS FLOAT) AS max_score FROM dscore GROUP BY query_id"""
     # aggregations
     q["citations_by_source"] = with_(PARAGRAPHS, CITATIONS) + """
       SELECT par_id_from, array_to_string(list_sort(list(par_id_to)), ' ') AS targets,
@@ -403,14 +407,17 @@ def _build() -> dict[str, str]:
       LEFT JOIN (SELECT t.query_id, count(*) AS n_found FROM ({top_k('bm_run', 20)}) t
                  JOIN lqrels r ON r.query_id = t.query_id AND r.doc_id = t.doc_id
                  GROUP BY t.query_id) f ON f.query_id = j.query_id"""
-    q["top_k_per_query"] = with_(DENSE) + top_k("dscore", 5)
+    q["top_k_per_query"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + top_k("bm_run", 5)
     q["full_ranking"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + \
         top_k("bm_run", 1 << 40)
     q["batch_retrieve"] = with_(T, bm25("tb", "tcorpus", "tqueries")) + top_k("tb_run", 10)
     q["scores_for_all"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + """
-      SELECT q.query_id, c.doc_id, CAST(coalesce(r.score, 0.0) AS FLOAT) AS score
+      SELECT q.query_id, count(*) AS n_docs, count(r.score) AS n_scored,
+             CAST(sum(coalesce(r.score, 0.0)) AS FLOAT) AS total,
+             CAST(max(coalesce(r.score, 0.0)) AS FLOAT) AS top
       FROM lqueries q CROSS JOIN lcorpus c
-      LEFT JOIN bm_run r ON r.query_id = q.query_id AND r.doc_id = c.doc_id"""
+      LEFT JOIN bm_run r ON r.query_id = q.query_id AND r.doc_id = c.doc_id
+      GROUP BY q.query_id"""
     # retrieval models
     q["bm25_index"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + """
       SELECT p.term, p.doc_id, p.tf, d.dl FROM bm_post p JOIN bm_dl d ON d.doc_id = p.doc_id"""
@@ -421,7 +428,8 @@ def _build() -> dict[str, str]:
     q["cosine_top_k_block"] = q["cosine_top_k"]
     # evaluation
     q["qrel_ranks"] = lex_eval + "SELECT query_id, doc_id, rank, block_start, block_end FROM ev_ranks"
-    q["recall_at_k"] = lex_eval + "SELECT round(avg(recall_at_10), 6) AS recall_at_10 FROM ev_pq"
+    q["recall_at_k"] = lex_eval + "SELECT " + ", ".join(
+        f"round(avg(recall_at_{k}), 6) AS recall_at_{k}" for k in K_VALUES) + " FROM ev_pq"
     q["mrr"] = lex_eval + "SELECT round(avg(rr), 6) AS mrr FROM ev_pq"
     q["ndcg_at_k"] = lex_eval + "SELECT round(avg(ndcg_at_10), 6) AS ndcg_at_10 FROM ev_pq"
     q["map_score"] = lex_eval + "SELECT round(avg(ap), 6) AS map FROM ev_pq"
@@ -475,38 +483,47 @@ def _build() -> dict[str, str]:
     q["nested_train_subsets"] = with_(T) + """
       SELECT fraction, CAST(sum(nq) OVER (ORDER BY fraction) AS BIGINT) AS n_queries,
              CAST(sum(np) OVER (ORDER BY fraction) AS BIGINT) AS n_pairs
-      FROM (SELECT CAST((((query_id * 7919 + 13) % 100) // 10) * 10 + 10 AS BIGINT) AS fraction,
+      FROM (SELECT CAST(((CAST(('0x' || substr(md5('subset:' || query_id), 1, 8)) AS BIGINT) % 100)
+                    // 10) * 10 + 10 AS BIGINT) AS fraction,
                    count(*) AS nq, sum(n_relevant) AS np
             FROM train_q GROUP BY 1)"""
     # pipelines
-    q["prepare_retrieval_task"] = with_(T) + """
-      SELECT q.query_id, md5(q.query_text) AS query_text_md5, j.n_relevant
-      FROM tqueries q JOIN (SELECT query_id, count(*) AS n_relevant FROM tqrels GROUP BY query_id) j
-        ON j.query_id = q.query_id"""
+    q["prepare_retrieval_task"] = with_(T, """val_q AS (
+        SELECT DISTINCT p.par_id, p.text FROM edge_year e JOIN paragraphs p ON p.par_id = e.par_id_from
+        WHERE e.split = 'val')""") + """
+      SELECT 'corpus' AS part, doc_id AS id, CAST(NULL AS VARCHAR) AS other, md5(text) AS text_md5
+      FROM tcorpus
+      UNION ALL SELECT 'queries', query_id, NULL, md5(query_text) FROM tqueries
+      UNION ALL SELECT 'val_queries', par_id, NULL, md5(coalesce(text, '')) FROM val_q
+      UNION ALL SELECT 'qrels', query_id, CAST(doc_id AS VARCHAR), NULL FROM tqrels
+      UNION ALL SELECT 'train_queries', query_id, array_to_string(relevant_docs, ' '), md5(query_text)
+      FROM train_q"""
     q["prepare_split_jsonl"] = with_(PARAGRAPHS, CITATIONS, PSPLIT, SPLIT_EDGES, RESOLVED) + """
-      SELECT split AS file, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_relevant
-      FROM (SELECT split, par_id_from, count(*) AS n FROM resolved GROUP BY split, par_id_from)
-      GROUP BY split
+      SELECT r.split AS file, r.par_id_from AS id, count(*) AS n_relevant,
+             md5(coalesce(p.text, '')) AS text_md5
+      FROM resolved r JOIN paragraphs p ON p.par_id = r.par_id_from
+      GROUP BY r.split, r.par_id_from, p.text
       UNION ALL
-      SELECT 'corpus', count(*), CAST(0 AS BIGINT) FROM (
-        SELECT par_id_from FROM resolved UNION SELECT par_id_to FROM resolved)"""
-    q["lexical_benchmark"] = three + "\nUNION ALL\n".join(
-        [summary_csv_row("e1", "BM25"), summary_csv_row("e2", "TF-IDF-1gr"),
-         summary_csv_row("e3", "TF-IDF-2gr")])
-    q["dense_benchmark"] = dsum + metrics_row("de", "Dense-cosine")
+      SELECT 'corpus', e.id, CAST(0 AS BIGINT), md5(coalesce(p.text, '')) FROM (
+        SELECT par_id_from AS id FROM resolved UNION SELECT par_id_to FROM resolved) e
+      JOIN paragraphs p ON p.par_id = e.id"""
+    models = (bm25("bm", "tcorpus", "tqueries") + tfidf("t1", "tcorpus", "tqueries", 1)
+              + tfidf("t2", "tcorpus", "tqueries", 2))
+    evals = [evaluation(e, f"{r}_run", "tqrels", "tcorpus")
+             for e, r in (("e1", "bm"), ("e2", "t1"), ("e3", "t2"))]
+    hashed = (hash_vectors("hd", "tcorpus", "doc_id", "text")
+              + hash_vectors("hq", "tqueries", "query_id", "query_text")
+              + ["""h_run AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) AS score
+                              FROM hq_v q JOIN hd_v d ON d.j = q.j GROUP BY q.id, d.id)"""]
+              + evaluation("e4", "h_run", "tqrels", "tcorpus"))
+    rows = [summary_csv_row("e1", "BM25"), summary_csv_row("e2", "TF-IDF-1gr"),
+            summary_csv_row("e3", "TF-IDF-2gr")]
+    last = summary_csv_row("e4", "HashEnc-64")
+    q["lexical_benchmark"] = with_(T, models, *evals) + "\nUNION ALL\n".join(rows)
+    q["dense_benchmark"] = with_(T, hashed) + last
+    q["combined_benchmark"] = with_(T, models, *evals, hashed) + "\nUNION ALL\n".join([*rows, last])
     q["encode_texts"] = with_(hash_vectors("hd", "documents", "doc_id", "text")) + \
         "SELECT id AS doc_id, CAST(j AS BIGINT) AS dim_idx, round(v, 6) AS value FROM hd_v"
-    four = with_(LEXICAL, _lex_models(), hash_vectors("hd", "documents", "doc_id", "text"),
-                 hash_vectors("hq", "benchmark", "item_id", "text"),
-                 ["""h_run AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) AS score
-                              FROM hq_v q JOIN hd_v d ON d.j = q.j GROUP BY q.id, d.id)"""],
-                 evaluation("e1", "bm_run", "lqrels", "lcorpus"),
-                 evaluation("e2", "t1_run", "lqrels", "lcorpus"),
-                 evaluation("e3", "t2_run", "lqrels", "lcorpus"),
-                 evaluation("e4", "h_run", "lqrels", "lcorpus"))
-    q["combined_benchmark"] = four + "\nUNION ALL\n".join(
-        [metrics_row("e1", "BM25"), metrics_row("e2", "TF-IDF-1gr"),
-         metrics_row("e3", "TF-IDF-2gr"), metrics_row("e4", "HashEnc-64")])
     return q
 
 

@@ -5,17 +5,21 @@
 * temporal citation task: paragraphs with a date and a citation edge list,
   both derived from ``documents`` by integer arithmetic;
 * dense task: leave-one-out over all embeddings (every vector queries all
-  the others), relevance = same label;
+  the others), relevance = same label among the next ten ids;
 * pair task: the lexical qrels pairs with both texts.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITESPACE_CLASS
-from ..operators.lexical import rows_at_most
+from ..config import BROADCAST_MAX_BYTES
+from ..operators.lexical import bytes_at_most
+from ..session import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table.  A large table arrives in many splits; a small one
@@ -40,33 +44,51 @@ def lexical_queries(spark, sf_dir) -> DataFrame:
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-def contains_pairs(docs: DataFrame, passages: DataFrame, max_broadcast_rows: int = 2_000_000
-                   ) -> DataFrame:
+def contains_pairs(docs: DataFrame, passages: DataFrame,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """(query_id, doc_id) where the doc text contains the passage text.
 
     No nested-loop join: every whitespace-delimited token strictly inside a
     passage is a whole token of any text containing it, so the passage's
     longest inner token is an exact equi-join key for candidates, which
-    ``contains`` then verifies.  Passages of fewer than three tokens have no
-    inner token; they are refused rather than matched by a nested loop."""
-    toks = F.split(F.col("query_text"), WHITESPACE_CLASS)
-    p = passages.select("query_id", "query_text",
-                        F.filter(toks, lambda t: t != "").alias("_t"))
+    ``contains`` then verifies.  Passages of one or two tokens have no inner
+    token; they are searched in every text as broadcast blocks of at most
+    ``max_bytes``.  Passages without a token are ignored."""
+    toks = F.filter(F.split(F.col("query_text"), WHITESPACE_CLASS), lambda t: t != "")
+    p = passages.select("query_id", "query_text", toks.alias("_t"))
     inner = F.slice(F.col("_t"), 2, F.greatest(F.size("_t") - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))
-    anchors = p.select("query_id", F.when(F.size("_t") >= 3, longest["t"]).alias("anchor"))
+    anchors = p.filter(F.size("_t") >= 3).select("query_id", longest["t"].alias("anchor"))
+    anchors = materialize(anchors, "anchors")
     dtok = docs.select("doc_id", F.explode(F.array_distinct(
         F.split(F.col("text"), WHITESPACE_CLASS))).alias("anchor"))
-    a = anchors.filter(F.col("anchor").isNotNull())
-    a = F.broadcast(a) if rows_at_most(a, max_broadcast_rows) else a
-    cand = dtok.join(a, "anchor").select("query_id", "doc_id")
-    if not rows_at_most(p.filter(F.size("_t") < 3), 0):
-        raise ValueError("contains_pairs needs passages of at least three tokens")
-    cand = cand.distinct()
+    a = F.broadcast(anchors) if bytes_at_most(anchors, max_bytes) else anchors
+    cand = dtok.join(a, "anchor").select("query_id", "doc_id").distinct()
     cand = cand.join(passages.select("query_id", "query_text"), "query_id")
     out = docs.select("doc_id", "text").join(cand, "doc_id") \
-        .filter(F.col("text").contains(F.col("query_text")))
-    return out.select("query_id", "doc_id")
+        .filter(F.col("text").contains(F.col("query_text"))).select("query_id", "doc_id")
+    short = p.filter(F.size("_t").between(1, 2)).select("query_id", "query_text")
+    n_bytes = short.agg(F.sum(F.octet_length("query_text") + 24)).first()[0] or 0
+    blocks = -(-n_bytes // max_bytes)
+    for i in range(blocks):
+        rows = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        if rows:
+            out = out.unionByName(_short_matches(docs, [tuple(r) for r in rows]))
+    return out
+
+
+def _short_matches(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def search(batches):
+        for b in batches:
+            hits = [(q, d) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t
+                    for q, p in shared.value if p in t]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h[i] for h in hits], type=pa.int64()) for i in (0, 1)],
+                ["query_id", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(search, "query_id long, doc_id long")
 
 
 def lexical_qrels(spark, sf_dir) -> DataFrame:
@@ -126,10 +148,13 @@ def dense_queries(spark, sf_dir) -> DataFrame:
 
 
 def dense_qrels(spark, sf_dir) -> DataFrame:
-    q = dense_queries(spark, sf_dir).select("query_id", "label")
-    d = dense_vectors(spark, sf_dir).select("doc_id", "label")
-    return q.join(d, "label").filter(F.col("query_id") != F.col("doc_id")) \
-        .select("query_id", "doc_id")
+    """A vector's relevant docs: those of its label among the next ten ids
+    (at most ten per query, whatever the size of a label)."""
+    v = dense_vectors(spark, sf_dir).select("doc_id", "label")
+    near = v.select(F.col("doc_id").alias("query_id"), "label",
+                    F.explode(F.sequence(F.lit(1), F.lit(10))).alias("step"))
+    return near.select("query_id", "label", (F.col("query_id") + F.col("step")).alias("doc_id")) \
+        .join(v, ["doc_id", "label"]).select("query_id", "doc_id")
 
 
 # ------------------------------------------------------------------ pairs

@@ -9,6 +9,7 @@ master is local do we create a private temporary folder, as tests need.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -77,11 +78,31 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    _delete_on_exit(spark, path)
+    for scope in _scopes:
+        scope.append(path)
+    hadoop, fs = _file_system(spark, path)
+    fs.deleteOnExit(hadoop)             # dropped when the session ends
     return spark.read.parquet(path)
 
 
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    """Have the file system drop an intermediate table when the session ends."""
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Drops the tables written by ``materialize`` inside it on the way out;
+    for work that repeats, like micro-batches, and has stored its result."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            hadoop, fs = _file_system(spark, path)
+            fs.delete(hadoop, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

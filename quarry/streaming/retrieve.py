@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..operators import lexical
 from ..operators.ranking import top_k_per_query
-from ..session import checkpoint_dir, scratch_path
+from ..session import checkpoint_dir, scratch_path, scratch_scope
 
 QUERY_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType(), False),
@@ -54,11 +54,12 @@ def stream_bm25_top_k(queries: DataFrame, index_path: str, out_path: str, k: int
     checkpoint = checkpoint or scratch_path(spark, "stream-ckpt")
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        index = load_bm25_index(batch.sparkSession, index_path)
-        top = top_k_per_query(lexical.bm25_scores(index, batch), k)
-        (top.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(out_path))
+        with scratch_scope(batch.sparkSession):
+            index = load_bm25_index(batch.sparkSession, index_path)
+            top = top_k_per_query(lexical.bm25_scores(index, batch), k)
+            (top.withColumn("batch_id", F.lit(batch_id).cast("long"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch_id").parquet(out_path))
 
     writer = queries.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))

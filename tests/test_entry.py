@@ -6,12 +6,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from conftest import SF001, SF01
+from quarry.plans.catalog import QUERIES
 
 TABLES = "documents embeddings benchmark labels conversations".split()
-SAMPLE = ["temporal_split", "qrels_to_corpus", "train_queries", "bm25_top_k",
-          "tfidf_top_k_2gr", "cosine_top_k_block", "qrel_ranks", "evaluate_run",
-          "pair_lcs", "training_batches"]
+# also compared on the second, larger set
+LARGER = ["bm25_top_k", "tfidf_top_k_2gr", "evaluate_run", "combined_benchmark", "split_counts",
+          "cosine_top_k_block", "write_summary_csv", "prepare_retrieval_task", "nested_train_subsets"]
+CORE = sorted(set(E.oracle_sql()) & set(QUERIES))
+KIND = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT",
+        "date": "DATE", "boolean": "BOOLEAN"}
 
 
 def _norm(v):
@@ -27,21 +31,33 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql_or_is_documented():
-    no_sql = set(E.queries()) - set(E.oracle_sql())
-    assert no_sql == {"cosine_top_k_lsh"}
+    assert set(QUERIES) - set(E.oracle_sql()) == {"cosine_top_k_lsh"}
 
 
-@pytest.mark.parametrize("name", SAMPLE)
-def test_query_matches_oracle(spark, name):
+def compare(spark, name, folder):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
-    sdf = E.queries()[name](spark, SF001)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    sdf = E.queries()[name](spark, folder)
     rel = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in rel.description]
+    kinds = {d[0]: str(d[1]) for d in rel.description}
     drows = rel.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    ints = {"BIGINT", "HUGEINT", "INTEGER"}
+    for c, t in sdf.dtypes:
+        assert KIND[t] == kinds[c] or {KIND[t], kinds[c]} <= ints, (c, t, kinds[c])
     order = sorted(dcols)
     s = sorted((tuple(_norm(r[c]) for c in order) for r in sdf.collect()), key=repr)
     d = sorted((tuple(_norm(r[dcols.index(c)]) for c in order) for r in drows), key=repr)
     assert s == d
+
+
+@pytest.mark.parametrize("name", CORE)
+def test_query_matches_oracle(spark, name):
+    compare(spark, name, SF001)
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_matches_oracle_on_more_data(spark, name):
+    compare(spark, name, SF01)

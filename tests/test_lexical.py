@@ -58,7 +58,7 @@ def test_bm25_salted_join_equals_broadcast(spark):
     idx = lexical.bm25_index(c)
     a = {(r.query_id, r.doc_id): r.score for r in lexical.bm25_scores(idx, q).collect()}
     b = {(r.query_id, r.doc_id): r.score for r in
-         lexical.bm25_scores(idx, q, max_broadcast_rows=0, hot_df=10, salts=4).collect()}
+         lexical.bm25_scores(idx, q, max_broadcast_bytes=0, rows_per_salt=40).collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
@@ -115,3 +115,40 @@ def test_top_k_more_than_corpus(spark):
     q = spark.createDataFrame([(0, "a b c")], "query_id long, query_text string")
     top = top_k_per_query(lexical.bm25_scores(lexical.bm25_index(c), q), 20).collect()
     assert len(top) == 3 and sorted(r["rank"] for r in top) == [1, 2, 3]
+
+
+def test_parameters_reach_the_index(spark):
+    docs = ["a b c d", "a a a b", "c c d", "a"]
+    c = _corpus(spark, docs)
+    q = spark.createDataFrame([(0, "a c")], "query_id long, query_text string")
+    plain = {r.doc_id: r.score for r in lexical.bm25_top_k(c, q, 10).collect()}
+    other = {r.doc_id: r.score for r in lexical.bm25_top_k(c, q, 10, k1=2.0, b=0.1).collect()}
+    want = {r.doc_id: r.score for r in top_k_per_query(
+        lexical.bm25_scores(lexical.bm25_index(c, k1=2.0, b=0.1), q), 10).collect()}
+    assert other == want and other != plain
+    small = lexical.tfidf_top_k(c, q, 10, vocab_size=1, stop_words=[]).collect()
+    assert {r.doc_id for r in small} == {i for i, t in enumerate(docs) if "a" in t.split()}
+
+
+def test_postings_need_no_exchange(spark):
+    from quarry.functions.text import tokenize
+    from pyspark.sql import functions as F
+    c = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a b a").alias("text"))
+    rows = lexical.count_terms(c, [F.col("doc_id")], tokenize("text"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.term, r.tf) for r in rows.filter("doc_id = 3").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_wide_query_side_joins_hot_terms_by_salt(spark):
+    """Beyond the broadcast bound no exchange is keyed by the bare term."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        post = spark.range(500).selectExpr("id as doc_id", "if(id % 5 = 0, 'rare', 'the') as term")
+        terms = spark.createDataFrame([("the", i) for i in range(9)] + [("rare", 1)], "term string, query_id long")
+        j = lexical.term_match_join(post, terms, max_broadcast_bytes=0, rows_per_salt=300)
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        keyed = [x for x in plan.splitlines() if "Exchange hashpartitioning(term" in x]
+        assert keyed and all("_salt" in x for x in keyed)
+        assert j.count() == 400 * 9 + 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -51,3 +51,12 @@ def test_training_batches_are_full_and_seeded(spark):
          for r in training.training_batches(df, ["conv_id", "turn"], seed=2).collect()}
     assert a == b and a != c
     assert sorted(set(a.values())) == [(i // 16, i % 16) for i in range(70)]
+
+
+def test_subsets_take_any_id(spark):
+    ids = [2 ** 62 + 100 * i for i in range(2000)]
+    df = spark.createDataFrame([(i, 1) for i in ids], "query_id long, n_relevant long")
+    got = {r.fraction: r.n_queries for r in training.nested_train_subsets(df).collect()}
+    assert got[100] == 2000
+    # equal steps between ids don't bias the draw
+    assert all(abs(got[f] - 20 * f) < 120 for f in range(10, 100, 10))

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.plans.tasks import contains_pairs
@@ -42,9 +43,26 @@ def test_summary_format_matches_printf(spark):
 def test_contains_pairs_equals_substring_scan(spark):
     docs = ["the quick brown fox jumps", "a quick brown fox", "xquick brown foxes run",
             "nothing here", "brown fox jumps over quick brown fox"]
-    passages = ["quick brown fox", "brown fox jumps", "k brown fo"]
+    passages = ["quick brown fox", "brown fox jumps", "k brown fo", "fox", "n fox", "xq", " "]
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     p = spark.createDataFrame(list(enumerate(passages)), "query_id long, query_text string")
     got = sorted(tuple(r) for r in contains_pairs(d, p).collect())
-    exp = sorted((qi, di) for qi, q in enumerate(passages) for di, t in enumerate(docs) if q in t)
+    exp = sorted((qi, di) for qi, q in enumerate(passages) for di, t in enumerate(docs) if q in t and q.strip())
     assert got == exp
+    assert sorted(tuple(r) for r in contains_pairs(d, p, max_bytes=30).collect()) == exp
+
+
+def test_missing_inputs_raise(spark):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_citations(spark, "/nonexistent/edges").collect()
+    with pytest.raises(ValueError, match="missing splits: validation"):
+        files.read_split_edges(spark, {"train": "a", "test": "b"})
+
+
+def test_repeated_paragraph_ids_raise(spark):
+    from quarry.operators.split import prepare_retrieval_task
+    par = spark.createDataFrame([(1, "a", dt.date(2015, 1, 1)), (1, "b", dt.date(2016, 1, 1))],
+                                "par_id long, text string, date date")
+    edges = spark.createDataFrame([(1, 1)], "par_id_from long, par_id_to long")
+    with pytest.raises(ValueError, match="par_id is not unique"):
+        prepare_retrieval_task(par, edges)
