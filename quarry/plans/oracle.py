@@ -513,7 +513,7 @@ def _build() -> dict[str, str]:
              for e, r in (("e1", "bm"), ("e2", "t1"), ("e3", "t2"))]
     hashed = (hash_vectors("hd", "tcorpus", "doc_id", "text")
               + hash_vectors("hq", "tqueries", "query_id", "query_text")
-              + ["""h_run AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.v * d.v) AS score
+              + ["""h_run AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.v * d.v), 12) AS score
                               FROM hq_v q JOIN hd_v d ON d.j = q.j GROUP BY q.id, d.id)"""]
               + evaluation("e4", "h_run", "tqrels", "tcorpus"))
     rows = [summary_csv_row("e1", "BM25"), summary_csv_row("e2", "TF-IDF-1gr"),
