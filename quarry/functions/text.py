@@ -18,9 +18,6 @@ EXTRA_WHITESPACE = "".join(chr(c) for c in (
     [0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680] + list(range(0x2000, 0x200B))
     + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-TERM_COUNT_TYPE = "array<struct<term:string,tf:int>>"
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -65,29 +62,3 @@ def ngram_range(tokens, low: int, high: int) -> Column:
     """All n-grams for n in [low, high], unigrams first."""
     parts = [word_ngrams(tokens, n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def term_counts(tokens) -> Column:
-    """Per-row term frequencies as array<struct<term, tf>> sorted by term.
-
-    Sort once, then cut the sorted array into runs of equal terms; the run
-    lengths are the counts.  This stays inside one row, so building postings
-    needs no shuffle keyed by (doc, term).  Every step is linear: lambdas
-    only see their own elements (a lambda that referenced a whole outer
-    array would re-evaluate it per element)."""
-    tk = _c(tokens)
-    s = F.array_sort(tk)
-    n = F.size(s)
-    prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), s), 1, n)
-    flagged = F.zip_with(s, prev, lambda c, p: F.struct(
-        c.alias("term"), (p.isNull() | (c != p)).alias("b")))
-    indexed = F.zip_with(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), flagged,
-                         lambda i, e: F.struct(i.alias("i"), e["term"].alias("term"),
-                                               e["b"].alias("b")))
-    starts = F.filter(indexed, lambda e: e["b"])
-    m = F.size(starts)
-    nxt = F.concat(F.slice(F.transform(starts, lambda e: e["i"]), 2, F.greatest(m - 1, F.lit(0))),
-                   F.array(n))
-    runs = F.zip_with(starts, nxt, lambda e, x: F.struct(
-        e["term"].alias("term"), (x - e["i"]).cast("int").alias("tf")))
-    return F.when(n > 0, runs).otherwise(F.array().cast(TERM_COUNT_TYPE))

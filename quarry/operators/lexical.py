@@ -3,7 +3,7 @@
 Indexes are plain DataFrames in long form:
 
 * postings(doc_id, dl, term, tf) -- terms are counted inside the document's
-  row, so building them needs no exchange of text or tokens;
+  task, so building them needs no exchange of text or tokens;
 * term_stats(term, df, idf) -- one aggregation keyed by term (partial
   aggregation before the shuffle, so a hot term costs one row per task).
 
@@ -19,13 +19,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (BM25_B, BM25_EPSILON, BM25_K1, BROADCAST_MAX_BYTES, MAX_HOT_TERMS,
                       ROWS_PER_SALT, TFIDF_VOCAB_SIZE)
 from ..functions.stopwords import ENGLISH
-from ..functions.text import (ngram_range, remove_stop_words, term_counts, text_as_string,
+from ..functions.text import (ngram_range, remove_stop_words, text_as_string,
                               tokenize)
 from ..session import materialize
 from .ranking import top_k_per_query
@@ -62,18 +64,47 @@ class BM25Index:
     b: float
 
 
-def count_terms(rows: DataFrame, key: list, tokens: Column, tf_col: str = "tf",
-                length_col: str | None = None) -> DataFrame:
-    """(key..., [length], term, tf): the terms of each row, counted inside it.
-    With ``length_col`` a row without tokens is kept, with a null term."""
-    t = rows.select(*key, tokens.alias("_tk"))
-    names = [c for c in t.columns if c != "_tk"]
-    extra = [F.size("_tk").cast("long").alias(length_col)] if length_col else []
-    t = t.select(*names, *extra, term_counts("_tk").alias("_tc"))
-    gen = F.explode_outer("_tc") if length_col else F.explode("_tc")
-    return t.select(*names, *([length_col] if length_col else []), gen.alias("_t")).select(
-        *names, *([length_col] if length_col else []), F.col("_t.term").alias("term"),
-        F.col("_t.tf").cast("long").alias(tf_col))
+def count_terms(rows: DataFrame, key: Column, tokens: Column, tf_col: str = "tf",
+                stats: bool = False) -> DataFrame:
+    """(key, term, tf): the terms of each row, counted inside its task, so no
+    exchange is needed.  ``stats``: also the row's length ``dl`` and ``_head``,
+    true on one row of each document; a row without tokens then keeps one row,
+    with a null term.
+
+    A batch's tokens are dictionary-encoded and counted by (row, code) with
+    NumPy; in built-in functions this takes an exchange of all tokens, or
+    nested lambdas that evaluate the sorted array many times over."""
+    r = rows.select(key, tokens.alias("_tk"))
+    name = r.columns[0]
+    extra = ", dl long, _head boolean" if stats else ""
+
+    def count(batches):
+        for b in batches:
+            col = b.column(1)
+            sizes = np.nan_to_num(col.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            code = col.flatten().dictionary_encode()
+            width = max(len(code.dictionary), 1)
+            pair, tf = np.unique(owner * width + code.indices.to_numpy(zero_copy_only=False),
+                                 return_counts=True)
+            own, term = pair // width, pair % width
+            terms = code.dictionary.take(pa.array(term))
+            if stats:
+                none = np.flatnonzero(sizes == 0)
+                own = np.concatenate((own, none))
+                terms = pa.concat_arrays([terms, pa.nulls(len(none), terms.type)])
+                tf = np.concatenate((tf, np.zeros(len(none), dtype=tf.dtype)))
+            cols = [b.column(0).take(pa.array(own)), terms, pa.array(tf.astype(np.int64))]
+            names = [name, "term", tf_col]
+            if stats:
+                head = np.ones(len(own), dtype=bool)
+                head[1:] = own[1:] != own[:-1]
+                cols += [pa.array(sizes[own]), pa.array(head)]
+                names += ["dl", "_head"]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    kind = dict(r.dtypes)[name]
+    return r.mapInArrow(count, f"{name} {kind}, term string, {tf_col} long{extra}")
 
 
 def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -81,15 +112,9 @@ def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                null_text: str = "") -> BM25Index:
     """One pass over the text builds the postings, without an exchange; they
     and the term statistics are written once."""
-    docs = corpus.select(F.col(id_col).alias("doc_id"),
-                         tokenize(text_as_string(text_col, null_text)).alias("_tk"))
-    docs = docs.select("doc_id", F.size("_tk").cast("long").alias("dl"),
-                       term_counts("_tk").alias("_tc"))
+    toks = tokenize(text_as_string(text_col, null_text))
+    rows = materialize(count_terms(corpus, F.col(id_col).alias("doc_id"), toks, stats=True), "postings")
     # empty documents keep one row (term null): they count in N and avgdl
-    rows = docs.select("doc_id", "dl", F.posexplode_outer("_tc").alias("_pos", "_t"))
-    rows = materialize(rows.select("doc_id", "dl", (F.coalesce("_pos", F.lit(0)) == 0).alias("_head"),
-                                   F.col("_t.term").alias("term"),
-                                   F.col("_t.tf").cast("long").alias("tf")), "postings")
     stats = rows.filter("_head").agg(F.count(F.lit(1)).cast("double").alias("n"),
                                      F.avg("dl").alias("avgdl"))
     stats = materialize(stats, "doc_stats")
@@ -108,7 +133,7 @@ def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def query_term_counts(queries: DataFrame, id_col: str = "query_id",
                       text_col: str = "query_text", null_text: str = "") -> DataFrame:
     """(query_id, term, qtf): repeated query tokens count repeatedly."""
-    return count_terms(queries, [F.col(id_col).alias("query_id")],
+    return count_terms(queries, F.col(id_col).alias("query_id"),
                        tokenize(text_as_string(text_col, null_text)), tf_col="qtf")
 
 
@@ -189,7 +214,7 @@ def analyze(col, ngram: tuple[int, int], stop_words: list[str], null_text: str =
 
 def ngram_counts(rows: DataFrame, ngram, stop_words, id_col="doc_id",
                  text_col="text") -> DataFrame:
-    return count_terms(rows, [F.col(id_col).alias("doc_id")], analyze(text_col, ngram, stop_words))
+    return count_terms(rows, F.col(id_col).alias("doc_id"), analyze(text_col, ngram, stop_words))
 
 
 def top_k_vocabulary(term_stats: DataFrame, size: int = TFIDF_VOCAB_SIZE) -> DataFrame:

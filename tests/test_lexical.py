@@ -134,7 +134,7 @@ def test_postings_need_no_exchange(spark):
     from quarry.functions.text import tokenize
     from pyspark.sql import functions as F
     c = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a b a").alias("text"))
-    rows = lexical.count_terms(c, [F.col("doc_id")], tokenize("text"))
+    rows = lexical.count_terms(c, F.col("doc_id"), tokenize("text"))
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.term, r.tf) for r in rows.filter("doc_id = 3").collect()) == [("a", 2), ("b", 1)]
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import (ngram_range, remove_stop_words, term_counts, tokenize,
+from quarry.functions.text import (ngram_range, remove_stop_words, tokenize,
                                    word_ngrams)
 
 WS = [chr(c) for c in range(0x110000) if chr(c).isspace()]
@@ -26,10 +26,3 @@ def test_ngrams_and_stop_words(spark):
     assert rows[0].g2 == ["a b", "b c", "c d"] and rows[0].g3 == ["a b c", "b c d"]
     assert rows[1].g2 == [] and rows[2].g3 == []
     assert rows[3].r == ["x", "y", "x y"]  # stop words go before n-grams
-
-
-def test_term_counts(spark):
-    df = spark.createDataFrame([("b a  b c a b",), ("",), (None,)], "t string")
-    rows = df.select(term_counts(tokenize("t")).alias("tc")).collect()
-    assert [(x.term, x.tf) for x in rows[0].tc] == [("a", 2), ("b", 3), ("c", 1)]
-    assert rows[1].tc == [] and rows[2].tc == []
