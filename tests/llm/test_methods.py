@@ -222,6 +222,42 @@ def test_decontamination_paraphrase_and_odd_inputs(spark):
     assert none.count() == 0
 
 
+def matches(items, table, texts):
+    h, first = decontaminate._hashes(Texts(pa.array(texts, type=pa.string()), lower=True))
+    return decontaminate.match(items, table, h, first, decontaminate.COSINE)
+
+
+def test_decontamination_finds_paraphrases(spark):
+    """Items with a third of their words replaced, evenly, and the answer kept,
+    planted in real texts: they align with 0.65 to 0.8 of the item."""
+    docs, bench = frame(spark, "documents", SF01), frame(spark, "benchmark", SF01)
+    table = decontaminate.latent_table(docs)
+    texts = [WORD.findall(r["text"].lower()) for r in docs.select("text").orderBy("doc_id").collect()]
+    given_ = [WORD.findall(r["text"].lower()) for r in bench.select("text").orderBy("item_id").collect()]
+    items = decontaminate.Items(list(range(len(given_))), [" ".join(w) for w in given_],
+                                [None] * len(given_), table)
+    rnd = random.Random(7)
+    vocab = [w for t in texts[:200] for w in t]
+    hosts = [t for t in texts if len(t) > 60]
+    short = [i for i, w in enumerate(given_) if len(w) < 30]
+    rows, want = [], []
+    while len(rows) < 400:
+        i = rnd.choice(short)
+        words, para, n = given_[i], list(given_[i]), len(given_[i])
+        k, o = int(0.35 * n), rnd.random()
+        for x in range(k):
+            para[int((x + o) * (n - 5) / k)] = rnd.choice(vocab)
+        if 0.65 * n <= plain_lcs(words, para) < 0.8 * n:
+            host = rnd.choice(hosts)
+            cut = rnd.randrange(len(host))
+            rows.append(" ".join(host[max(cut - 80, 0):cut] + para + host[cut:cut + 80]))
+            want.append(i)
+    found = matches(items, table, rows)
+    assert sum((k, i) in found for k, i in enumerate(want)) >= 0.92 * len(want)
+    for (k, i), (got, _, _) in list(found.items())[:20]:
+        assert 0.65 * len(given_[i]) <= got <= plain_lcs(given_[i], rows[k].split())
+
+
 # --------------------------------------------------------------- near dedup
 
 def plain_lcs(a, b):
