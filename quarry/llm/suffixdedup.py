@@ -216,8 +216,9 @@ def _resolve(contexts: DataFrame, min_len: int, k: int, first_stays: bool,
     reach = min_len - k + 1
 
     def chunk(rows):
-        # in text order; a row repeated in full is one text here
-        rows = [r for _, r in sorted({(r[1], r[2], r[3], r[0]): r for r in rows}.items())]
+        # in text order; a row repeated in full is one text here, but a region
+        # cut by a tile's border is two rows of one anchor
+        rows = [r for _, r in sorted({(r[1], r[2], r[3], r[0], r[4], r[5]): r for r in rows}.items())]
         h = np.array([r[0] for r in rows])
         n, width = len(rows), cell or reach
         left = np.zeros((n, reach), dtype=np.uint8)

@@ -60,6 +60,24 @@ def test_substrings_tiles(spark, monkeypatch):
     assert rows(got) == sorted(brute.substrings(data, 400), key=repr)
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("bucket", [2, 256])
+def test_substrings_across_tile_borders(spark, monkeypatch, keep, bucket):
+    """Passages of 400 to 700 bytes over every border of a long text, and
+    their copies elsewhere."""
+    monkeypatch.setattr(suffixdedup, "TILE", 2000)
+    rnd = random.Random(8)
+    noise = lambda n: "".join(rnd.choice("abcdefgh \n") for _ in range(n))
+    long_ = noise(41000)
+    data = [(1, long_)]
+    for i in range(1, 20):
+        n = rnd.randrange(400, 700)
+        a = 2000 * i - rnd.randrange(1, n)
+        data.append((100 + i, noise(rnd.randrange(0, 300)) + long_[a:a + n] + noise(rnd.randrange(0, 300))))
+    got = suffixdedup.dedup_substrings(documents(spark, data), 400, keep, max_bucket=bucket)
+    assert rows(got) == sorted(brute.substrings(data, 400, keep), key=repr)
+
+
 def test_substrings_table(spark):
     data = small_documents(spark)
     got = suffixdedup.dedup_substrings(documents(spark, data), 400, "none", keep_text=True)
