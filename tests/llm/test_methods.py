@@ -258,6 +258,31 @@ def test_decontamination_finds_paraphrases(spark):
         assert 0.65 * len(given_[i]) <= got <= plain_lcs(given_[i], rows[k].split())
 
 
+def test_decontamination_finds_short_items(spark):
+    """Verbatim copies of items of 5 to 15 words, anywhere in real texts."""
+    docs = frame(spark, "documents")
+    table = decontaminate.latent_table(docs)
+    texts = [WORD.findall(r["text"].lower()) for r in docs.select("text").orderBy("doc_id").collect()]
+    hosts = [t for t in texts if len(t) > 60]
+    rnd = random.Random(6)
+    given_ = []
+    for n in range(5, 16):
+        for _ in range(20):
+            t = rnd.choice(hosts)
+            a = rnd.randrange(len(t) - n)
+            given_.append(t[a:a + n])
+    items = decontaminate.Items(list(range(len(given_))), [" ".join(w) for w in given_],
+                                [None] * len(given_), table)
+    rows = []
+    for w in given_:
+        host = rnd.choice(hosts)
+        cut = rnd.randrange(len(host))
+        rows.append(" ".join(host[max(cut - 80, 0):cut] + w + host[cut:cut + 80]))
+    found = matches(items, table, rows)
+    assert all(found[i, i][0] == len(w) for i, w in enumerate(given_) if (i, i) in found)
+    assert sum((i, i) in found for i in range(len(given_))) == len(given_)
+
+
 # --------------------------------------------------------------- near dedup
 
 def plain_lcs(a, b):
