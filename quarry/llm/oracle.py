@@ -3,6 +3,7 @@ definitions (tables hold each doc_id and page_id once)."""
 
 from __future__ import annotations
 
+from .bestposition import TOP
 from .linededup import MIN_CHARS
 from .qualityrules import METRICS, MIN_DOCS, MIN_WORDS
 from .urlfilter import CANONICAL, CANONICAL_2, DEFAULT, REFRESH, RULES, TRACKING, UPPER
@@ -125,5 +126,91 @@ SELECT page_id, host, path, own.rule AS rule,
 FROM f LEFT JOIN d ON f.alias_class = d.alias_class"""
 
 
+SEARCH = rf"""
+WITH lowered AS (SELECT row_number() OVER () AS r, doc_id,
+       regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT r, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM lowered WHERE len(ts) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT r, doc_id, n, unnest(ts) AS term FROM d),
+c AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM p
+      WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM c, s GROUP BY term),
+x AS (SELECT r, doc_id, c.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))
+      AS impact FROM c JOIN w ON c.term = w.term, s),
+g AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(impact) AS BIGINT) AS score
+      FROM i JOIN x ON i.term = x.term GROUP BY item_id, r HAVING sum(impact) > 0),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+      AS INT) AS rank, doc_id, score FROM g)
+SELECT * FROM o WHERE rank <= {TOP}"""
+
+# Forward: the least (cost, audit) of every state after every row.  "due" is
+# the role that a state asks for next: 0 nothing yet, 1 after s, 2 after u,
+# 3 after a.
+REPAIR = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+       lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+key AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+        FROM conversations),
+crc AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''),
+            lambda x: CAST(ord(x) AS BIGINT))),
+            lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS kind FROM key, tab),
+hit AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc),
+conv AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role,
+           md5(role || chr(0) || text)) AS i
+           FROM hit JOIN conv ON hit.conv_id IS NOT DISTINCT FROM conv.conv_id),
+solid AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail,
+          row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, left(role, 1) AS initial,
+          lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+rows AS (SELECT *, tail = '' AS blank, tail <> '' AND again AS dup,
+         tail <> '' AND NOT again AND tail NOT IN ('.', '!', '?') AS trunc FROM solid),
+facts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+          count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+          count(*) FILTER (trunc) AS truncated, max(i) AS size,
+          count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM rows GROUP BY c),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+        (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']),
+        (3, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+        (1, 3, 4, 'II', ['user:', 'assistant:'])) AS v(a, b, cost, audit, lines)),
+state AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, {'cost': CAST(0 AS BIGINT), 'audit': '',
+         'lines': CAST([] AS VARCHAR[])} AS best, 0 AS s FROM conv
+  UNION ALL
+  SELECT c, i, min(best) AS best, s FROM (
+    SELECT state.c, rows.i AS i, e.s AS s, {'cost': best.cost + ins.cost + e.cost,
+           'audit': best.audit || ins.audit || e.audit,
+           'lines': list_concat(list_concat(best.lines, ins.lines), e.lines)} AS best
+    FROM state JOIN rows ON rows.c = state.c AND rows.i = state.i + 1 JOIN ins ON ins.a = state.s,
+    LATERAL (SELECT unnest([
+      {'s': ins.b, 'cost': 3, 'audit': 'D', 'lines': CAST([] AS VARCHAR[])},
+      CASE WHEN NOT blank AND NOT dup AND initial = 's' AND ins.b = 0 THEN
+        {'s': 1, 'cost': CAST(trunc AS INT), 'audit': 'K', 'lines': [role || ':' || text]}
+      WHEN NOT blank AND NOT dup AND initial = CASE ins.b WHEN 2 THEN 'a' ELSE 'u' END THEN
+        {'s': CASE ins.b WHEN 2 THEN 3 ELSE 2 END, 'cost': CAST(trunc AS INT), 'audit': 'K',
+         'lines': [role || ':' || text]} END,
+      CASE WHEN NOT blank AND NOT dup THEN
+        {'s': CASE ins.b WHEN 2 THEN 3 ELSE 2 END, 'cost': 2 + CAST(trunc AS INT), 'audit': 'R',
+         'lines': [CASE ins.b WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || text]} END
+    ]) AS e) WHERE e IS NOT NULL) GROUP BY c, i, s),
+fin AS (SELECT state.c, min({'cost': best.cost + ins.cost, 'audit': best.audit || ins.audit,
+        'lines': list_concat(best.lines, ins.lines)}) AS best
+        FROM state JOIN ins ON ins.a = state.s LEFT JOIN facts ON facts.c = state.c
+        WHERE ins.b IN (0, 3) AND state.i = coalesce(facts.size, 0) GROUP BY state.c)
+SELECT conv.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit,
+       sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM conv LEFT JOIN facts ON facts.c = conv.c JOIN fin ON fin.c = conv.c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _quality(), "op5_line_dedup": LINE_DEDUP, "op10_url_filters": _url()}
+    return {"op2_quality_rules": _quality(), "op5_line_dedup": LINE_DEDUP, "op10_url_filters": _url(),
+            "op11_conversation_repair": REPAIR, "op12_ranked_search": SEARCH}

@@ -79,13 +79,14 @@ class Texts:
     def text(self, i: int) -> bytes:
         return self.raw[self.offs[i]:self.offs[i + 1]]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, blank: bytes = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, first): word byte ranges in buf, and for each text the
-        index of its first word (n + 1 entries)."""
+        index of its first word (n + 1 entries).  ``blank``: 1 for each byte
+        value that separates words."""
         if not len(self.buf):
             z = np.zeros(0, dtype=np.int64)
             return z, z, np.zeros(self.n + 1, dtype=np.int64)
-        solid = np.frombuffer(self.raw.translate(SPACE), dtype=np.uint8) == 0
+        solid = np.frombuffer(self.raw.translate(blank), dtype=np.uint8) == 0
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
         ends = solid.copy()

@@ -82,3 +82,78 @@ def quality_base(text):
             seen.add(s)
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit),
             len(w) < 50 or 100 * len(hit) > 50 * len(w))
+
+
+def crc_kind(conv, turn):
+    import zlib
+    key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+    return zlib.crc32(key.encode()) % 20
+
+
+def damaged(rows):
+    """(conv, turn, role, text) rows after damage; and all conversations."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = crc_kind(conv, turn)
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out, {r[0] for r in rows}
+
+
+def repaired_turns(faulty):
+    """((cost, audit), lines) of [(role, text, fault)], by all edits at every
+    state; faults: blank, duplicate, truncated or None."""
+    from functools import cache
+    due = {"": "u", "s": "u", "u": "a", "a": "u"}
+    full = {"u": "user", "a": "assistant"}
+
+    @cache
+    def best(i, state, added):
+        ways = []
+        if i == len(faulty) and state in ("", "a"):
+            ways.append((0, "", ()))
+        if added < 3:
+            c, a, x = best(i, due[state], added + 1)
+            ways.append((c + 2, "I" + a, (full[due[state]] + ":", *x)))
+        if i < len(faulty):
+            role, text, fault = faulty[i]
+            c, a, x = best(i + 1, state, 0)
+            ways.append((c + 3, "D" + a, x))
+            if fault not in ("blank", "duplicate"):
+                more = int(fault == "truncated")
+                initial = role[:1]
+                if initial == due[state] or (initial == "s" and state == ""):
+                    c, a, x = best(i + 1, initial, 0)
+                    ways.append((c + more, "K" + a, (f"{role}:{text}", *x)))
+                c, a, x = best(i + 1, due[state], 0)
+                ways.append((c + 2 + more, "R" + a, (f"{full[due[state]]}:{text}", *x)))
+        return min(ways, key=lambda w: w[:2], default=(1 << 30, "", ()))
+
+    return best(0, "", 0)
+
+
+def conversations(rows):
+    """The result of op11 for undamaged rows."""
+    after, convs = damaged(rows)
+    out = []
+    for conv in convs:
+        own = sorted((r for r in after if r[0] == conv), key=lambda r: (
+            r[1] is not None, r[1] or 0, r[2], hashlib.md5(f"{r[2]}\0{r[3]}".encode()).hexdigest()))
+        seen, faulty = set(), []
+        for _, _, role, text in own:
+            solid = text.strip(SPACES)
+            fault = ("blank" if not solid else "duplicate" if (role, text) in seen
+                     else "truncated" if solid[-1] not in ".!?" else None)
+            seen.add((role, text))
+            faulty.append((role, text, fault))
+        turns = {r[1] for r in own} - {None}
+        cost, audit, lines = repaired_turns(tuple(faulty))
+        count = lambda f: sum(x[2] == f for x in faulty)
+        pairs = [a[0][:1] + b[0][:1] for a, b in zip(faulty, faulty[1:])]
+        out.append((conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0, count("blank"),
+                    count("duplicate"), count("truncated"), sum(p not in ("su", "ua", "au") for p in pairs),
+                    cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return out

@@ -6,17 +6,18 @@ from conftest import SF001, SF01
 import __spark_entry__ as E
 from quarry.llm.registry import QUERIES
 
-TABLES = "documents benchmark labels pages".split()
+TABLES = "documents benchmark labels pages conversations".split()
 
 
 def test_names():
     names = list(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 13):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(QUERIES) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op5_line_dedup", "op10_url_filters"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op5_line_dedup", "op10_url_filters",
+                                  "op11_conversation_repair", "op12_ranked_search"])
 @pytest.mark.parametrize("folder", [SF001, SF01])
 def test_query_matches_sql(spark, name, folder):
     con = duckdb.connect()
