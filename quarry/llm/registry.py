@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bestposition, crf, decontaminate, linededup, mixing, orderminhash, qualityrules,
-               sharding, suffixdedup, tokencount, turnrepair, urlfilter)
+from . import (bestposition, crf, decontaminate, htmlextract, linededup, mixing, orderminhash,
+               qualityrules, sharding, suffixdedup, tokencount, turnrepair, urlfilter)
 from .oracle import oracle_sql  # noqa: F401
 
 
@@ -62,7 +62,11 @@ def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return bestposition.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=50)
 
 
+def op13_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return htmlextract.main_text(table(spark, sf, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality_rules, op3_quality_classifier, op4_mixing, op5_line_dedup,
     op6_decontamination, op7_minhash_near_dedup, op8_token_counts, op9_sharding, op10_url_filters,
-    op11_conversation_repair, op12_ranked_search)}
+    op11_conversation_repair, op12_ranked_search, op13_html_extraction)}

@@ -11,7 +11,7 @@ TABLES = "documents benchmark labels pages conversations".split()
 
 def test_names():
     names = list(E.queries())
-    for n in range(1, 13):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(QUERIES) <= set(names)
 
