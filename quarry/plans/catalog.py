@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import EVAL_K_VALUES
 from ..functions.text import remove_stop_words, tokenize, word_ngrams
-from ..operators import dense, evaluate, lexical, pairs, ranking, split, training
+from ..operators import dense, evaluate, lexical, pairs, ranking, split, training, vector_index
 from ..session import materialize, scratch_path
 from ..sources import files
 from . import tasks
@@ -388,9 +388,18 @@ def q_cosine_top_k_block(spark, sf):
 
 
 def q_cosine_top_k_lsh(spark, sf):
-    return _run_cols(dense.cosine_top_k_lsh(tasks.dense_queries(spark, sf),
-                                            tasks.dense_vectors(spark, sf), 10,
-                                            exclude_self=True))
+    index = vector_index.build_index(tasks.dense_vectors(spark, sf))
+    return _run_cols(vector_index.search_index(index, tasks.dense_queries(spark, sf), 10, exclude_self=True))
+
+
+def q_cosine_index_quality(spark, sf):
+    """The approximate search held against the exact one."""
+    vectors, queries = tasks.dense_vectors(spark, sf), tasks.dense_queries(spark, sf)
+    run, counts = vector_index.search_with_counts(vector_index.build_index(vectors), queries, 10, exclude_self=True)
+    q = vector_index.search_quality(run, dense.cosine_top_k(queries, vectors, 10, exclude_self=True), counts,
+                                    vectors.select(F.count(F.lit(1))).scalar())
+    return q.select("n_queries", "n_rows", (F.col("recall") >= 0.9).alias("recall_from_90_percent"),
+                    (F.col("compared_share") <= 0.1).alias("compared_to_10_percent"))
 
 
 def q_encode_texts(spark, sf):
@@ -623,6 +632,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cosine_top_k": q_cosine_top_k,
     "cosine_top_k_block": q_cosine_top_k_block,
     "cosine_top_k_lsh": q_cosine_top_k_lsh,
+    "cosine_index_quality": q_cosine_index_quality,
     "encode_texts": q_encode_texts,
     "qrel_ranks": q_qrel_ranks,
     "recall_at_k": q_recall_at_k,

