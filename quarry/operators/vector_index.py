@@ -39,7 +39,7 @@ MAX_SAMPLE = MAX_CELLS * ROWS_PER_CENTRE
 SAMPLE_PAIRS = 512             # sampled vectors whose pairs set the sketch distance
 BITS = 512
 PROBE_SHARE = 0.85
-EXACT_SHARE = 0.075
+EXACT_SHARE = 0.065
 
 
 @dataclass
