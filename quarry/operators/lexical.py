@@ -12,7 +12,8 @@ joins query terms to postings.  The query-term side is broadcast only after
 its bytes are summed; beyond the bound the join is a shuffle on (term, salt)
 where the postings of hot terms are spread over several tasks.  Postings are
 partitioned by document before the join, so scores are summed inside a task
-and the top-k is a WindowGroupLimit.
+and the top-k is a WindowGroupLimit.  Where only the best k are asked for, no
+joined rows are made at all: see ``impact``.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from ..functions.stopwords import ENGLISH
 from ..functions.text import (ngram_range, remove_stop_words, text_as_string,
                               tokenize)
 from ..session import materialize
+from .impact import impact_top_k
 from .ranking import top_k_per_query
 
 
@@ -121,13 +123,17 @@ def bm25_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_docs, avgdl = _scalar(stats, F.col("n")), _scalar(stats, F.col("avgdl"))
     postings = rows.filter(F.col("term").isNotNull()).select("doc_id", "dl", "term", "tf")
     df_ = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return BM25Index(postings, bm25_statistics(df_, n_docs, epsilon), n_docs, avgdl, k1, b)
+
+
+def bm25_statistics(df_: DataFrame, n_docs: Column, epsilon: float = BM25_EPSILON) -> DataFrame:
+    """term, df, raw_idf, idf from (term, df); negative raw values get the floor."""
     raw = F.ln(n_docs - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     with_raw = materialize(df_.withColumn("raw_idf", raw), "term_stats")
     mean_raw = _scalar(with_raw, F.avg("raw_idf"))
-    term_stats = with_raw.withColumn(
+    return with_raw.withColumn(
         "idf", F.when(F.col("raw_idf") < 0, F.lit(epsilon) * mean_raw)
                 .otherwise(F.col("raw_idf")))
-    return BM25Index(postings, term_stats, n_docs, avgdl, k1, b)
 
 
 def query_term_counts(queries: DataFrame, id_col: str = "query_id",
@@ -177,6 +183,13 @@ def bm25_scores(index: BM25Index, queries: DataFrame, id_col: str = "query_id",
     Each side's factor is computed before the join -- the saturated term
     frequency per posting, qtf * idf per query term -- so the joined rows
     (the largest intermediate) carry two ids and two numbers only."""
+    post, qt = _bm25_sides(index, queries, id_col, text_col)
+    j = term_match_join(post, qt, **join_opts)
+    return j.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+
+
+def _bm25_sides(index: BM25Index, queries: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(postings(term, doc_id, wd), query terms(term, query_id, wq))."""
     qt = query_term_counts(queries, id_col, text_col)
     qt = qt.join(index.term_stats.select("term", "idf"), "term") \
         .select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("wq"))
@@ -185,15 +198,25 @@ def bm25_scores(index: BM25Index, queries: DataFrame, id_col: str = "query_id",
     k1, b = index.k1, index.b
     tf = F.col("tf")
     norm = tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / index.avgdl)
-    post = index.postings.select("term", "doc_id", ((tf * F.lit(k1 + 1)) / norm).alias("wd"))
-    j = term_match_join(post, qt, **join_opts)
-    return j.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+    return index.postings.select("term", "doc_id", ((tf * F.lit(k1 + 1)) / norm).alias("wd")), qt
+
+
+def bm25_top(index: BM25Index, queries: DataFrame, k: int, id_col: str = "query_id",
+             text_col: str = "query_text", max_broadcast_bytes: int = BROADCAST_MAX_BYTES, **opts) -> DataFrame:
+    """Top-k run with rank: by impact bounds inside the documents' tasks, or by
+    the join where the queries are too large to broadcast."""
+    post, qt = _bm25_sides(index, queries, id_col, text_col)
+    run = impact_top_k(post, qt, k, max_broadcast_bytes, **opts)
+    if run is not None:
+        return run
+    j = term_match_join(post, qt, max_broadcast_bytes)
+    return top_k_per_query(j.groupBy("query_id", "doc_id").agg(
+        F.sum(F.col("wq") * F.col("wd")).alias("score")), k)
 
 
 def bm25_top_k(corpus: DataFrame, queries: DataFrame, k: int = 10, k1: float = BM25_K1,
-               b: float = BM25_B, epsilon: float = BM25_EPSILON, **join_opts) -> DataFrame:
-    index = bm25_index(corpus, k1=k1, b=b, epsilon=epsilon)
-    return top_k_per_query(bm25_scores(index, queries, **join_opts), k)
+               b: float = BM25_B, epsilon: float = BM25_EPSILON, **opts) -> DataFrame:
+    return bm25_top(bm25_index(corpus, k1=k1, b=b, epsilon=epsilon), queries, k, **opts)
 
 
 # ------------------------------------------------------------------- TF-IDF
@@ -279,6 +302,17 @@ def tfidf_scores(index: TfidfIndex, queries: DataFrame, id_col="query_id",
 def tfidf_top_k(corpus: DataFrame, queries: DataFrame, k: int = 10,
                 ngram: tuple[int, int] = (1, 1), vocab_size: int = TFIDF_VOCAB_SIZE,
                 stop_words: list[str] | None = None, vocab_corpus: DataFrame | None = None,
-                **join_opts) -> DataFrame:
-    index = tfidf_index(corpus, ngram, vocab_size, stop_words, vocab_corpus)
-    return top_k_per_query(tfidf_scores(index, queries, **join_opts), k)
+                **opts) -> DataFrame:
+    return tfidf_top(tfidf_index(corpus, ngram, vocab_size, stop_words, vocab_corpus), queries, k, **opts)
+
+
+def tfidf_top(index: TfidfIndex, queries: DataFrame, k: int, id_col="query_id", text_col="query_text",
+              max_broadcast_bytes: int = BROADCAST_MAX_BYTES, **opts) -> DataFrame:
+    """Top-k run with rank, by impact bounds; by the join for too many queries."""
+    qw = materialize(tfidf_query_weights(index, queries, id_col, text_col), "query_weights")
+    run = impact_top_k(index.weights.withColumnRenamed("w", "wd"), qw.withColumnRenamed("qw", "wq"), k,
+                       max_broadcast_bytes, **opts)
+    if run is not None:
+        return run
+    j = term_match_join(index.weights, qw, max_broadcast_bytes)
+    return top_k_per_query(j.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")), k)

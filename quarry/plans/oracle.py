@@ -422,6 +422,7 @@ def _build() -> dict[str, str]:
     q["bm25_index"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + """
       SELECT p.term, p.doc_id, p.tf, d.dl FROM bm_post p JOIN bm_dl d ON d.doc_id = p.doc_id"""
     q["bm25_top_k"] = with_(LEXICAL, bm25("bm", "lcorpus", "lqueries")) + top_k("bm_run", 10)
+    q["bm25_saved_index"] = q["bm25_top_k"]
     q["tfidf_top_k_1gr"] = with_(LEXICAL, tfidf("t1", "lcorpus", "lqueries", 1)) + top_k("t1_run", 10)
     q["tfidf_top_k_2gr"] = with_(LEXICAL, tfidf("t2", "lcorpus", "lqueries", 2)) + top_k("t2_run", 10)
     q["cosine_top_k"] = with_(DENSE) + top_k("dscore", 10)
