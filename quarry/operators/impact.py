@@ -11,6 +11,8 @@ weight.  For each query
    best score (or a better one known from earlier documents of the task);
 3. further blocks follow by falling bound, in batches that double, while their
    bound reaches the k-th best score so far; all others are never scored.
+   Where more than a quarter of the blocks are left, all documents are scored
+   from the query's postings, which costs less than block by block.
 
 A document scores at most its block's bound, so none of the best k is lost.
 At most k rows per query (and equal scores) leave a chunk of documents.  The
@@ -34,9 +36,10 @@ SCHEMA = "query_id long, doc_id long, score double"
 
 
 class Chunk:
-    """Postings of some documents, a document's rows adjacent."""
+    """Postings of some documents, a document's rows adjacent; ``width``: number
+    of terms."""
 
-    def __init__(self, doc_id, code, weight, block: int = BLOCK_DOCS):
+    def __init__(self, doc_id, code, weight, width: int, block: int = BLOCK_DOCS):
         head = np.ones(len(doc_id), dtype=bool)
         head[1:] = doc_id[1:] != doc_id[:-1]
         self.ids = doc_id[head]
@@ -45,47 +48,60 @@ class Chunk:
         self.n_blocks = -(-n // block)
         first = np.append(np.flatnonzero(head), len(doc_id))
         self.block_first = first[np.minimum(np.arange(self.n_blocks + 1) * block, n)]
+        order = np.argsort(code, kind="stable")          # by term, then document
+        c = code[order]
+        self.term_doc, self.term_weight = self.doc[order], weight[order]
+        self.term_first = np.searchsorted(c, np.arange(width + 1))
         # the largest weight of each (term, block), by term
-        own = self.doc // block
-        order = np.lexsort((own, code))
-        c, b = code[order], own[order]
+        own = self.term_doc // block
         new = np.ones(len(c), dtype=bool)
-        new[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
+        new[1:] = (c[1:] != c[:-1]) | (own[1:] != own[:-1])
         at = np.flatnonzero(new)
-        self.max_code, self.max_block = c[at], b[at]
-        self.max_weight = np.maximum.reduceat(weight[order], at) if len(at) else np.zeros(0)
-
-    def _bounds(self, codes, weights):
-        """(bound of each block, whether it holds a term of the query)."""
-        lo, hi = np.searchsorted(self.max_code, codes), np.searchsorted(self.max_code, codes, side="right")
+        self.max_block = own[at]
+        self.max_weight = np.maximum.reduceat(self.term_weight, at) if len(at) else np.zeros(0)
+        self.max_first = np.searchsorted(c[at], np.arange(width + 1))
+
+    def _sums(self, first, place, value, codes, weights, size: int, least: float = -np.inf):
+        """(summed weight x value by place, whether a term is there) over the
+        terms' ranges."""
+        lo, hi = first[codes], first[codes + 1]
         at = _ranges(lo, hi)
-        gain = np.repeat(weights, hi - lo) * self.max_weight[at]
-        bound = np.bincount(self.max_block[at], weights=np.maximum(gain, 0), minlength=self.n_blocks)
-        return bound, np.bincount(self.max_block[at], minlength=self.n_blocks) > 0
+        gain = np.maximum(np.repeat(weights, hi - lo) * value[at], least)
+        own = place[at]
+        return np.bincount(own, weights=gain, minlength=size), np.bincount(own, minlength=size) > 0
 
     def _score(self, blocks, dense):
         """(documents, scores) of the blocks' documents with a term of the query."""
         at = _ranges(self.block_first[blocks], self.block_first[blocks + 1])
         w = dense[self.code[at]]
         some = ~np.isnan(w)
-        doc, part = self.doc[at[some]], w[some] * self.weight[at[some]]
-        docs, own = np.unique(doc, return_inverse=True)
-        return docs, np.bincount(own, weights=part, minlength=len(docs))
+        at, n = at[some], len(self.ids)
+        total = np.bincount(self.doc[at], weights=w[some] * self.weight[at], minlength=n)
+        docs = np.flatnonzero(np.bincount(self.doc[at], minlength=n))
+        return docs, total[docs]
 
     def top(self, codes, weights, dense, k: int, floor: float):
         """(documents, scores, documents scored, k-th best score): every
         document that can be among the best k; ``floor``: a score that k
         documents are known to reach; ``dense``: the query's weight by term."""
-        bound, touched = self._bounds(codes, weights)
+        bound, touched = self._sums(self.max_first, self.max_block, self.max_weight, codes, weights,
+                                    self.n_blocks, 0.0)
         order = np.flatnonzero(touched)
         order = order[np.argsort(-bound[order], kind="stable")]
         docs, score = np.zeros(0, dtype=np.int64), np.zeros(0)
         lo, size, kth = 0, -(-4 * k // BLOCK_DOCS), floor
         while lo < len(order) and bound[order[lo]] >= kth - abs(kth) * SLACK:
-            some = order[lo:lo + size]
-            some = some[bound[some] >= kth - abs(kth) * SLACK]
-            more, s = self._score(np.sort(some), dense)
-            docs, score = np.concatenate((docs, more)), np.concatenate((score, s))
+            left = order[lo:]
+            left = left[bound[left] >= kth - abs(kth) * SLACK]
+            if 4 * len(left) > self.n_blocks and (lo or len(left) <= size):
+                # most blocks are needed: all documents at once, by their terms
+                total, hit = self._sums(self.term_first, self.term_doc, self.term_weight, codes, weights,
+                                        len(self.ids))
+                docs = np.flatnonzero(hit)
+                score, lo = total[docs], len(order)
+            else:
+                more, s = self._score(np.sort(left[:size]), dense)
+                docs, score = np.concatenate((docs, more)), np.concatenate((score, s))
             kth = max(kth, _kth(score, k))
             lo, size = lo + size, 2 * size
         good = score >= kth - abs(kth) * SLACK
@@ -150,7 +166,7 @@ def impact_top_k(postings: DataFrame, query_terms: DataFrame, k: int,
         floor = np.full(len(ids), -np.inf)
         dense = np.full(width, np.nan)
         for part in _chunks(batches, chunk):
-            c = Chunk(*part)
+            c = Chunk(*part, width)
             out = []
             for i in range(len(ids)):
                 own = slice(first[i], first[i + 1])

@@ -55,7 +55,7 @@ def test_blocks_below_the_threshold_are_not_scored():
     n = 4000
     has = rnd.random((n, 3)) < np.array([0.01, 0.6, 0.8])
     doc, code = np.nonzero(has)
-    c = impact.Chunk(doc, code, rnd.uniform(0.5, 2.0, len(doc)))
+    c = impact.Chunk(doc, code, rnd.uniform(0.5, 2.0, len(doc)), 3)
     weights = np.array([9.0, 0.2, 0.1])
     docs, score, scored, kth = c.top(np.arange(3), weights, weights, 10, -np.inf)
     docs = c.ids[docs]
