@@ -32,7 +32,12 @@ def tokenize(col) -> Column:
     pieces.  Null text stays null.  All built-in, code-generated
     expressions: translate the rare whitespace characters to a space, split
     on \s+, remove the empty strings left at the ends."""
-    spaced = F.translate(F.lower(_c(col)), EXTRA_WHITESPACE, " " * len(EXTRA_WHITESPACE))
+    return split_words(F.lower(_c(col)))
+
+
+def split_words(col) -> Column:
+    """``tokenize`` without lower-casing."""
+    spaced = F.translate(_c(col), EXTRA_WHITESPACE, " " * len(EXTRA_WHITESPACE))
     return F.array_remove(F.split(spaced, "\\s+"), "")
 
 

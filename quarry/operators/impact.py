@@ -11,8 +11,8 @@ weight.  For each query
    best score (or a better one known from earlier documents of the task);
 3. further blocks follow by falling bound, in batches that double, while their
    bound reaches the k-th best score so far; all others are never scored.
-   Where more than a quarter of the blocks are left, all documents are scored
-   from the query's postings, which costs less than block by block.
+   Where an eighth is scored and more than a quarter of the blocks is left, all
+   documents are scored from the query's postings, which then costs less.
 
 A document scores at most its block's bound, so none of the best k is lost.
 At most k rows per query (and equal scores) leave a chunk of documents.  The
@@ -93,7 +93,7 @@ class Chunk:
         while lo < len(order) and bound[order[lo]] >= kth - abs(kth) * SLACK:
             left = order[lo:]
             left = left[bound[left] >= kth - abs(kth) * SLACK]
-            if 4 * len(left) > self.n_blocks and (lo or len(left) <= size):
+            if 4 * len(left) > self.n_blocks and (8 * lo >= len(order) or len(left) <= size):
                 # most blocks are needed: all documents at once, by their terms
                 total, hit = self._sums(self.term_first, self.term_doc, self.term_weight, codes, weights,
                                         len(self.ids))

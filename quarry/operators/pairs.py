@@ -3,14 +3,13 @@ word-level edit distance, shared word n-grams, longest common subsequence,
 and their averages by which of two models ranked the pair's query better.
 
 Shared n-grams are built-in array functions.  The two dynamic programmes
-run as Arrow-batched Pandas UDFs over whole token arrays: edit distance one
-NumPy row at a time (insertions by a running minimum), LCS with the
-bit-parallel method (one machine-word pass per token of the shorter text).
+run as Arrow-batched Pandas UDFs over whole token arrays, both bit-parallel:
+64 cells of the table per word operation, one pass per token of the shorter
+text.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,30 +18,41 @@ from pyspark.sql import types as T
 from ..functions.text import tokenize, word_ngrams
 
 
-def _codes(a, b):
-    vocab: dict[str, int] = {}
-    ca = np.fromiter((vocab.setdefault(t, len(vocab)) for t in a), dtype=np.int64, count=len(a))
-    cb = np.fromiter((vocab.setdefault(t, len(vocab)) for t in b), dtype=np.int64, count=len(b))
-    return ca, cb
+def _masks(tokens) -> dict:
+    """Bit i of a token's mask: it is token i."""
+    masks: dict = {}
+    for i, x in enumerate(tokens):
+        masks[x] = masks.get(x, 0) | (1 << i)
+    return masks
 
 
 def edit_distance_tokens(a, b) -> int:
-    """Levenshtein distance over token sequences, unit costs."""
+    """Levenshtein distance over token sequences, unit costs (bit-vectors: a
+    column of the table is held as the signs of its vertical differences, one
+    bit each, and moves on by a dozen word operations per 64 tokens)."""
     if a is None or b is None:
         return None
-    if len(a) > len(b):
+    if len(a) < len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    if n == 0:
+    m = len(a)
+    if len(b) == 0:
         return m
-    ca, cb = _codes(a, b)
-    idx = np.arange(m + 1)
-    prev = idx.copy()
-    for i in range(1, n + 1):
-        best = np.minimum(prev[:-1] + (cb != ca[i - 1]), prev[1:] + 1)
-        t = np.concatenate(([i], best)) - idx
-        prev = np.minimum.accumulate(t) + idx
-    return int(prev[m])
+    masks, full, last = _masks(a), (1 << m) - 1, 1 << (m - 1)
+    up, down, distance = full, 0, m        # differences of +1 and of -1
+    for y in b:
+        same = masks.get(y, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right_up = down | (full & ~(diagonal | up))
+        right_down = up & diagonal
+        if right_up & last:
+            distance += 1
+        elif right_down & last:
+            distance -= 1
+        right_up = ((right_up << 1) | 1) & full
+        right_down = (right_down << 1) & full
+        up = right_down | (full & ~((same | down) | right_up))
+        down = right_up & (same | down)
+    return distance
 
 
 def lcs_tokens(a, b) -> int:
@@ -54,10 +64,7 @@ def lcs_tokens(a, b) -> int:
         a, b = b, a
     if len(b) == 0:
         return 0
-    masks: dict[str, int] = {}
-    for i, x in enumerate(a):
-        masks[x] = masks.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    masks, full = _masks(a), (1 << len(a)) - 1
     s = full
     for y in b:
         m = masks.get(y)

@@ -124,23 +124,46 @@ def train_queries(edges: DataFrame, paragraphs: DataFrame, null_text: str = "",
                       F.col("n_targets").alias("n_relevant"))
 
 
+def labelled_edges(paragraphs: DataFrame, edges: DataFrame, validate: bool = False,
+                   **years) -> tuple[DataFrame, DataFrame]:
+    """(labels(par_id, split), ends(par_id_from, par_id_to, from, to)): the split
+    of every paragraph and of both ends of every edge with a source, ids only,
+    each written once.  ``validate`` raises on repeated paragraph ids."""
+    labels = materialize(temporal_split(paragraphs, **years).select("par_id", "split"), "labels")
+    if validate:
+        assert_unique(labels, "par_id")
+    source = labels.select(F.col("par_id").alias("par_id_from"), F.col("split").alias("from"))
+    target = labels.select(F.col("par_id").alias("par_id_to"), F.col("split").alias("to"))
+    ends = edges.filter(F.col("par_id_from").isNotNull()).join(source, "par_id_from", "left") \
+        .join(target, "par_id_to", "left").select("par_id_from", "par_id_to", "from", "to")
+    return labels, ends
+
+
 def prepare_retrieval_task(paragraphs: DataFrame, edges: DataFrame, validate: bool = True,
                            null_text: str = "", **years) -> dict[str, DataFrame]:
     """corpus, test queries, qrels, training queries and validation queries.
-    Paragraph ids must be unique; ``validate`` raises where they aren't."""
-    if validate:
-        assert_unique(paragraphs, "par_id")
-    corpus = candidate_corpus(paragraphs, null_text, **years)
-    kept = drop_within_test_queries(edges, paragraphs, **years)
-    qrels = qrels_to_corpus(edges, kept, corpus)
-    queries = queries_with_qrels(paragraphs, qrels, null_text)
-    split = temporal_split(paragraphs, **years)
-    val_edges = edge_source_year(edges, paragraphs).filter(
-        split_label("year", **years) == "val")
-    val_queries = queries_from_edges(paragraphs, val_edges, null_text)
-    return {"corpus": corpus, "queries": queries, "qrels": qrels,
-            "train_queries": train_queries(edges, paragraphs, null_text, **years),
-            "val_queries": val_queries, "split": split, "kept_sources": kept}
+    Paragraph ids must be unique; ``validate`` raises where they aren't.
+
+    All follow from one label table and one table of edge ends; texts are
+    joined to the ids that are left."""
+    labels, ends = labelled_edges(paragraphs, edges, validate, **years)
+    ends = materialize(ends, "edge_ends")
+    test = ends.filter(F.col("from") == "test")
+    within = test.filter(F.col("to") == "test").select("par_id_from")
+    kept = test.select("par_id_from").distinct().join(within, "par_id_from", "left_anti")
+    qrels = materialize(
+        test.filter(F.col("to").isin("train", "val")).join(within, "par_id_from", "left_anti")
+        .select(F.col("par_id_from").alias("query_id"), F.col("par_id_to").alias("doc_id")).distinct(), "qrels")
+    val = ends.filter(F.col("from") == "val")
+    lists = citations_by_source(ends.filter(F.col("from") == "train"))
+    texts = paragraphs.select(F.col("par_id").alias("query_id"), text_as_string("text", null_text).alias("query_text"))
+    train = lists.join(texts.withColumnRenamed("query_id", "par_id_from"), "par_id_from").select(
+        F.col("par_id_from").alias("query_id"), "query_text", F.col("targets").alias("relevant_docs"),
+        F.col("n_targets").alias("n_relevant"))
+    return {"corpus": candidate_corpus(paragraphs, null_text, **years),
+            "queries": queries_with_qrels(paragraphs, qrels, null_text), "qrels": qrels, "train_queries": train,
+            "val_queries": queries_from_edges(paragraphs, val, null_text),
+            "split": temporal_split(paragraphs, **years), "kept_sources": kept}
 
 
 def split_counts(task: dict[str, DataFrame], edges: DataFrame, paragraphs: DataFrame,
@@ -149,11 +172,7 @@ def split_counts(task: dict[str, DataFrame], edges: DataFrame, paragraphs: DataF
 
     The split label of every paragraph and both ends of every edge are written
     once (ids only); all stages are aggregations of these two tables."""
-    labels = materialize(temporal_split(paragraphs, **years).select("par_id", "split"), "labels")
-    source = labels.select(F.col("par_id").alias("par_id_from"), F.col("split").alias("from"))
-    target = labels.select(F.col("par_id").alias("par_id_to"), F.col("split").alias("to"))
-    ends = edges.filter(F.col("par_id_from").isNotNull()).join(source, "par_id_from", "left") \
-        .join(target, "par_id_to", "left")
+    labels, ends = labelled_edges(paragraphs, edges, **years)
     # per citing paragraph: is any target in the test years, which distinct
     # targets lie in the corpus
     to = F.when(F.col("to").isin("train", "val"), F.col("par_id_to"))

@@ -69,7 +69,7 @@ def _run_cols(df):
 
 
 def _per_query(run, qrels, corpus):
-    return evaluate.per_query_metrics(evaluate.qrel_ranks(run, qrels, corpus))
+    return evaluate.per_query_metrics(evaluate.qrel_ranks(run, qrels, corpus, run_in_corpus=True))
 
 
 def _metrics_row(df):
@@ -428,7 +428,7 @@ def q_encode_texts(spark, sf):
 
 def q_qrel_ranks(spark, sf):
     corpus, _, qrels = _lexical(spark, sf)
-    r = evaluate.qrel_ranks(_bm25_run(spark, sf), qrels, corpus)
+    r = evaluate.qrel_ranks(_bm25_run(spark, sf), qrels, corpus, run_in_corpus=True)
     return r.select("query_id", "doc_id", "rank", "block_start", "block_end")
 
 
@@ -456,7 +456,7 @@ def q_map_score(spark, sf):
 
 def q_evaluate_run(spark, sf):
     corpus, _, qrels = _lexical(spark, sf)
-    return _metrics_row(evaluate.evaluate_run(_bm25_run(spark, sf), qrels, corpus))
+    return _metrics_row(evaluate.evaluate_run(_bm25_run(spark, sf), qrels, corpus, run_in_corpus=True))
 
 
 def _lexical_runs(spark, sf):
@@ -466,14 +466,14 @@ def _lexical_runs(spark, sf):
 
 def q_model_summary(spark, sf):
     corpus, _, qrels = _lexical(spark, sf)
-    s = evaluate.model_summary(_lexical_runs(spark, sf), qrels, corpus)
+    s = evaluate.model_summary(_lexical_runs(spark, sf), qrels, corpus, run_in_corpus=True)
     return s.select("method", *[_r(c) for c in evaluate.metric_names()], "n_queries")
 
 
 def _gap(spark, sf):
     corpus, _, qrels = _lexical(spark, sf)
     return evaluate.model_gap_by_query(_bm25_run(spark, sf), _tfidf_run(spark, sf, (1, 2)),
-                                       qrels, corpus, "rr")
+                                       qrels, corpus, "rr", run_in_corpus=True)
 
 
 def q_model_gap_by_query(spark, sf):
@@ -585,7 +585,7 @@ def _task_dense(corpus, queries, qrels):
 
 def q_lexical_benchmark(spark, sf):
     corpus, queries, qrels = _task(spark, sf)
-    s = evaluate.model_summary(_task_lexical(corpus, queries), qrels, corpus)
+    s = evaluate.model_summary(_task_lexical(corpus, queries), qrels, corpus, run_in_corpus=True)
     return _through_csv(spark, s, "lexical_summary_csv")
 
 
@@ -597,7 +597,7 @@ def q_dense_benchmark(spark, sf):
 def q_combined_benchmark(spark, sf):
     corpus, queries, qrels = _task(spark, sf)
     runs = _task_lexical(corpus, queries)
-    lex = evaluate.model_summary(runs, qrels, corpus)
+    lex = evaluate.model_summary(runs, qrels, corpus, run_in_corpus=True)
     s = lex.unionByName(evaluate.summarize(_task_dense(corpus, queries, qrels), ["HashEnc-64"]))
     return _through_csv(spark, s, "combined_summary_csv")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITESPACE_CLASS
+from ..functions.text import split_words
 from ..config import BROADCAST_MAX_BYTES
 from ..operators.lexical import bytes_at_most
 from ..session import materialize
@@ -54,14 +54,13 @@ def contains_pairs(docs: DataFrame, passages: DataFrame,
     ``contains`` then verifies.  Passages of one or two tokens have no inner
     token; they are searched in every text as broadcast blocks of at most
     ``max_bytes``.  Passages without a token are ignored."""
-    toks = F.filter(F.split(F.col("query_text"), WHITESPACE_CLASS), lambda t: t != "")
+    toks = split_words("query_text")
     p = passages.select("query_id", "query_text", toks.alias("_t"))
     inner = F.slice(F.col("_t"), 2, F.greatest(F.size("_t") - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("l"), t.alias("t"))))
     anchors = p.filter(F.size("_t") >= 3).select("query_id", longest["t"].alias("anchor"))
     anchors = materialize(anchors, "anchors")
-    dtok = docs.select("doc_id", F.explode(F.array_distinct(
-        F.split(F.col("text"), WHITESPACE_CLASS))).alias("anchor"))
+    dtok = docs.select("doc_id", F.explode(F.array_distinct(split_words("text"))).alias("anchor"))
     a = F.broadcast(anchors) if bytes_at_most(anchors, max_bytes) else anchors
     cand = dtok.join(a, "anchor").select("query_id", "doc_id").distinct()
     cand = cand.join(passages.select("query_id", "query_text"), "query_id")

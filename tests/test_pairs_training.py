@@ -60,3 +60,27 @@ def test_subsets_take_any_id(spark):
     assert got[100] == 2000
     # equal steps between ids don't bias the draw
     assert all(abs(got[f] - 20 * f) < 120 for f in range(10, 100, 10))
+
+
+def test_edit_distance_of_long_and_odd_sequences():
+    import random
+
+    from quarry.operators.pairs import edit_distance_tokens
+
+    def plain(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+            prev = row
+        return prev[-1]
+
+    rnd = random.Random(8)
+    for _ in range(300):
+        a, b = (rnd.choices("abcdé", k=rnd.randrange(0, 90)) for _ in range(2))
+        assert edit_distance_tokens(a, b) == plain(a, b) == edit_distance_tokens(b, a)
+    long_ = rnd.choices("abcdefgh", k=700)
+    other = [x for x in long_ if rnd.random() < 0.8]
+    assert edit_distance_tokens(long_, other) == plain(long_, other)
+    assert edit_distance_tokens(None, ["a"]) is None and edit_distance_tokens([], []) == 0
