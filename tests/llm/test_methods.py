@@ -458,3 +458,41 @@ def test_url_aliases(spark):
     got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages, redirects=given_).collect()}
     assert got[9] == "block"
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_decontamination_in_item_blocks_and_with_a_sampled_fit(spark, monkeypatch):
+    """Items searched block by block, the space fitted on a few passages: the
+    same leaks as brute force finds; an answer column decides paraphrases."""
+    docs, items = frame(spark, "documents"), frame(spark, "benchmark")
+    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 500)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    bench = [tuple(r) for r in items.collect()]
+    want = brute_leaks(rows, bench)
+    assert whole == want and len(got & want) >= 0.97 * len(want) and got <= want
+    clean = {r["doc_id"] for r in decontaminate.clean_documents(docs, items).collect()}
+    assert clean == {d for d, _ in rows} - {d for d, _ in got}
+
+
+def test_decontamination_awkward(spark):
+    words = [f"word{i}" for i in range(40)]
+    item = " ".join(words)
+    changed = " ".join("x" if i % 10 in (2, 5, 8) else w for i, w in enumerate(words))     # 70 % of the words
+    filler = " ".join(f"f{i % 313}g{i % 7}" for i in range(60_000))
+    rows = [(1, filler + " " + item + " " + filler), (2, "so " + changed + " it is"), (3, None), (4, ""),
+            (4, item), (4, item), (None, item), (5, filler)]
+    docs = spark.createDataFrame([(d, t, 1, "y") for d, t in rows],
+                                 "doc_id long, text string, item_id int, answer string")
+    for answer, paraphrase in (("word0 word1", True), ("nowhere to be seen", False)):
+        bench = spark.createDataFrame([(7, item, answer, 1), (8, None, None, 1), (9, "", None, 1), (7, item, answer, 1)],
+                                      "item_id long, text string, answer string, doc_id int")
+        got = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+        assert got == sorted([(1, 7), (4, 7), (4, 7), (0, 7)] * 2 + [(2, 7)] * 2 * paraphrase)
+        clean = decontaminate.clean_documents(docs, bench)
+        assert clean.columns == docs.columns
+        assert sorted(r["doc_id"] for r in clean.collect()) == [3, 4, 5] if paraphrase else [2, 3, 4, 5]
+    assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+    assert decontaminate.clean_documents(docs, bench.limit(0)).count() == len(rows)
