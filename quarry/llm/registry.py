@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every copy goes here; the operator's default keeps the first."""
-    return suffixdedup.dedup_substrings(table(spark, sf, "documents"), min_len=400, keep="none")
+    """Every copy goes here; the operator's default keeps the first.  The kept
+    text is the last column."""
+    return suffixdedup.dedup_substrings(table(spark, sf, "documents"), min_len=400, keep="none", keep_text=True)
 
 
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

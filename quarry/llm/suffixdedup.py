@@ -54,6 +54,8 @@ ANCHOR = 64
 TILE = 1 << 20
 MAX_BUCKET = 1024
 CELL = 12
+SALT_ROWS = 4096       # rows of a key from which they are dealt over tasks
+HOT_KEYS = 100_000
 LAST = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK_ROWS = 1500
@@ -336,20 +338,35 @@ def _by_digest(contexts: DataFrame, min_len: int, first_stays: bool) -> DataFram
     return hit.select("d", "th", F.col("s").alias("lo"), (F.col("s") + min_len).alias("hi"))
 
 
+def _meet(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined to the one row of ``keyed`` for their keys; ``n`` is its
+    number of rows, and is dropped.  Keys of very many rows are dealt over
+    several tasks: their rows by place, with a copy of the keyed row for each.
+    These keys are at most ``HOT_KEYS`` by choice of the bound, so they can be
+    told to all tasks."""
+    bound = max(SALT_ROWS, -(-rows.count() // HOT_KEYS))
+    salts = F.ceil(F.col(n) / bound).cast("int")
+    hot = keyed.filter(F.col(n) > bound).select(*keys, salts.alias("salts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "salt", F.pmod(F.xxhash64("d", "th", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(
+        F.col(n) > bound, salts - 1).otherwise(0)))).drop(n)
+    return dealt.join(copies, [*keys, "salt"]).drop("salt")
+
+
 def repeated_runs(docs_keyed: DataFrame, min_len: int, keep: str, k: int = ANCHOR,
                   max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(d, th, lo, hi): byte runs to remove; runs of one text may overlap."""
     first_stays = keep == "first"
     found = materialize(anchors(docs_keyed, min_len, k), "suffix_anchors")
-    twice = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-                        .select("h"), "suffix_repeated")
-    found = materialize(found.join(twice, "h"), "suffix_candidates")
+    twice = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix_repeated")
+    found = materialize(_meet(found, twice, ["h"], "n"), "suffix_candidates")
     # copies of a region: one row each, with the first copy's place
     regions = materialize(found.groupBy("h", "r1", "r2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "th", "pos", "a", "z")).alias("first")),
         "suffix_regions")
-    copies = regions.filter("n > 1").select("r1", "r2", "h", "first")
-    copied = found.join(materialize(copies, "suffix_copies"), ["h", "r1", "r2"])
+    copies = regions.filter("n > 1").select("r1", "r2", "h", "first", "n")
+    copied = _meet(found, materialize(copies, "suffix_copies"), ["h", "r1", "r2"], "n")
     if first_stays:
         copied = copied.filter(F.struct("d", "th", "pos", "a", "z") != F.col("first"))
     runs = copied.select("d", "th", F.col("a").alias("lo"), (F.col("z") + min_len).alias("hi"))
@@ -370,12 +387,12 @@ def _hot_runs(contexts: DataFrame, min_len: int, k: int, first_stays: bool, max_
     steps again for cells of a few windows, which most regions share in full
     or not at all."""
     cells = materialize(_cells(contexts, min_len), "suffix_cells")
-    met = cells.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    cells = materialize(cells.join(materialize(met, "suffix_cells_met"), "h"), "suffix_cells_open")
+    met = cells.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cells = materialize(_meet(cells, materialize(met, "suffix_cells_met"), ["h"], "n"), "suffix_cells_open")
     place = F.struct("d", "th", "pos", "a", "z", "ctx")
     kinds = materialize(cells.groupBy("h", "r1", "r2").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "suffix_cell_kinds")
-    copied = cells.join(kinds.filter("n > 1").select("h", "r1", "r2", "first"), ["h", "r1", "r2"])
+    copied = _meet(cells, kinds.filter("n > 1").select("h", "r1", "r2", "first", "n"), ["h", "r1", "r2"], "n")
     if first_stays:
         copied = copied.filter(place != F.col("first"))
     runs = copied.select("d", "th", F.col("a").alias("lo"), (F.col("z") + min_len).alias("hi"))
@@ -389,8 +406,8 @@ def _hot_runs(contexts: DataFrame, min_len: int, k: int, first_stays: bool, max_
 
 def dedup_substrings(docs: DataFrame, min_len: int = MIN_LEN, keep: str = "first",
                      keep_text: bool = False, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept text,
-    where bytes that no longer form a character are dropped)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``text``: the kept
+    text, where bytes that no longer form a character are dropped)."""
     keyed = _keyed(docs)
     runs = repeated_runs(keyed, min_len, keep, max_bucket=max_bucket)
     per = runs.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))

@@ -116,3 +116,29 @@ def test_sharding_hot_text(spark):
     again = sharding.shard_by_bytes(documents(spark, data[::-1])).toPandas()
     key = ["doc_id", "shard", "slot"]
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
+
+
+def test_substrings_hot_keys_empty_tables_long_texts_and_clashing_columns(spark, monkeypatch):
+    """Keys dealt over tasks from 5 rows on; a very long text with copies over
+    its tile borders; no rows; columns named like the operator's own."""
+    import random
+
+    from quarry.llm import suffixdedup
+    monkeypatch.setattr(suffixdedup, "SALT_ROWS", 5)
+    monkeypatch.setattr(suffixdedup, "TILE", 20_000)
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    passage, other = word(900), word(450)
+    long_ = word(19_700) + passage + word(19_000) + other + word(30_000)
+    rows = [(1, long_)] + [(i, word(50) + passage + word(70)) for i in range(2, 42)]
+    rows += [(50, other + word(9)), (51, word(399)), (52, None), (53, "")] + [(60, other)] * 12
+    full = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in rows],
+                                 "doc_id long, text string, d int, h int, n string, salt int")
+    for keep in ("none", "first"):
+        got = suffixdedup.dedup_substrings(full.repartition(4), 400, keep)
+        want = brute.substrings(rows if keep == "none" else [r for i, r in enumerate(rows) if r not in rows[:i]],
+                                400, keep)
+        assert sorted(set(map(tuple, got.collect())), key=repr) == sorted(set(want), key=repr)
+    assert suffixdedup.dedup_substrings(full.limit(0), 400, "none").count() == 0
+    texts = {r["doc_id"]: r["text"] for r in suffixdedup.dedup_substrings(full, 400, "none", keep_text=True).collect()}
+    assert passage not in texts[1] and other not in texts[1] and texts[60] == "" and texts[51] == rows[-15][1]
