@@ -36,7 +36,9 @@ def full_ranking(run: DataFrame, query_col: str = "query_id", doc_col: str = "do
                  score_col: str = "score", rank_col: str = "rank") -> DataFrame:
     """Rank every scored row of every query (1-based), without a per-query
     single-task sort: positions come from a range-partitioned global order."""
+    from ..session import materialize
     from .ordering import dense_index
+    run = materialize(run, "run")       # range partitioning reads it twice
     ranked = dense_index(
         run.withColumn("_neg", -rounded_score(score_col)),
         order=["_neg", doc_col], index_col="_idx", group=[query_col])
