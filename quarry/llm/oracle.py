@@ -30,18 +30,25 @@ def _quality() -> str:
     metrics = ", ".join(f"CAST(least(1000, 1000 * {a} // greatest(1, {b})) AS INT) AS {m}"
                         for m, (a, b) in per.items())
     values = " UNION ALL ".join(
-        f"SELECT lang, source, '{m}' AS metric, {m} AS value, {g} AS guard, {k} AS multiple "
-        "FROM q WHERE NOT base_failed" for m, (g, k) in METRICS.items())
+        f"SELECT lang, source, '{m}' AS metric, {m} AS value, {k} AS top, {g} AS guard "
+        "FROM q WHERE NOT base_failed" for m, (k, g) in METRICS.items())
 
     def limits(name: str, by: str) -> str:
         cols = f"{by}, " if by else ""
         return f"""
-{name}_r AS (SELECT {cols}metric, value, guard, multiple,
+{name}_r AS (SELECT {cols}metric, value, top, guard,
        row_number() OVER (PARTITION BY {cols}metric ORDER BY value) AS rn,
        count(*) OVER (PARTITION BY {cols}metric) AS n FROM v),
 {name} AS (SELECT {cols}metric, any_value(n) AS docs,
-       min(value) FILTER (rn * 2 >= n) + greatest(any_value(guard), any_value(multiple) *
-       (min(value) FILTER (rn * 4 >= n * 3) - min(value) FILTER (rn * 2 >= n))) AS lim
+       min(value) FILTER (rn * 2 >= n) AS mid, min(value) FILTER (rn * 100 >= n * top) - mid AS far,
+       far + greatest(any_value(guard), far) AS spread FROM {name}_r GROUP BY {cols}metric)"""
+
+    def ceilings(name: str, by: str) -> str:
+        cols = f"{by}, " if by else ""
+        return f"""
+{name}_r AS (SELECT {cols}metric, spread, row_number() OVER (PARTITION BY {cols}metric ORDER BY spread) AS rn,
+       count(*) OVER (PARTITION BY {cols}metric) AS n FROM s WHERE docs >= {MIN_DOCS}),
+{name} AS (SELECT {cols}metric, min(spread) FILTER (rn * 2 >= n) * 3 // 2 AS cap
        FROM {name}_r GROUP BY {cols}metric)"""
 
     joins, cols, passed = "", "", ""
@@ -50,9 +57,12 @@ def _quality() -> str:
 LEFT JOIN s AS s_{m} ON s_{m}.metric = '{m}' AND s_{m}.lang IS NOT DISTINCT FROM q.lang
       AND s_{m}.source IS NOT DISTINCT FROM q.source
 LEFT JOIN l AS l_{m} ON l_{m}.metric = '{m}' AND l_{m}.lang IS NOT DISTINCT FROM q.lang
-LEFT JOIN a AS a_{m} ON a_{m}.metric = '{m}'"""
-        lim = (f"CASE WHEN s_{m}.docs >= {MIN_DOCS} THEN s_{m}.lim WHEN l_{m}.docs >= {MIN_DOCS} "
-               f"THEN l_{m}.lim ELSE a_{m}.lim END")
+LEFT JOIN lc AS lc_{m} ON lc_{m}.metric = '{m}' AND lc_{m}.lang IS NOT DISTINCT FROM q.lang
+LEFT JOIN a AS a_{m} ON a_{m}.metric = '{m}'
+LEFT JOIN ac AS ac_{m} ON ac_{m}.metric = '{m}'"""
+        lim = (f"CASE WHEN s_{m}.docs >= {MIN_DOCS} THEN s_{m}.mid + least(s_{m}.spread, lc_{m}.cap) "
+               f"WHEN l_{m}.docs >= {MIN_DOCS} THEN l_{m}.mid + least(l_{m}.spread, lc_{m}.cap) "
+               f"ELSE a_{m}.mid + least(a_{m}.spread, ac_{m}.cap) END")
         cols += f", q.{m}, CAST({lim} AS INT) AS max_{m}"
         passed += f" AND q.{m} <= coalesce({lim}, 1000)"
     return f"""
@@ -74,7 +84,7 @@ b AS (SELECT t.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
 c AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM b),
 q AS (SELECT *, {metrics},
       n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-v AS ({values}),{limits('s', 'lang, source')},{limits('l', 'lang')},{limits('a', '')}
+v AS ({values}),{limits('s', 'lang, source')},{limits('l', 'lang')},{limits('a', '')},{ceilings('lc', 'lang')},{ceilings('ac', '')}
 SELECT q.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed{passed} AS kept{cols}
 FROM q{joins}"""

@@ -3,13 +3,19 @@
 Each document's metrics are computed inside its row (no exchange of text).
 Every metric is a whole number of thousandths, so a histogram by value is a
 quantile sketch with a resolution of 1/1000 that merges by adding counts:
-one per (lang, source), merged into one per lang and one for all.  A group
-with fewer than ``min_docs`` documents uses the next larger sketch.  The
-threshold of a metric is its median plus a multiple of its spread above the
-median (the third quartile less the median, which a quarter of junk doesn't
-move), and a document that exceeds any threshold of its group is rejected.
-The spread is at least ``guard``, so that groups in which a metric is nearly
-constant don't reject ordinary documents.
+one per (lang, source), merged into one per lang and one for all.  The
+limit of a metric is its median plus a spread: twice the distance from the
+median to an upper quantile, at least that distance plus ``guard``.  A tail
+that goes on as it began stays, what lies apart from it goes.
+
+A source full of junk would raise its own quantile, so a group's spread is at
+most 3/2 of the middle spread among the sources of its language, every source
+counted once, however many documents it has.  Those spreads are whole numbers,
+so their histogram by language is again a mergeable sketch.  What is usual in
+a source (its median) stays usual.  A group with fewer than ``min_docs``
+documents takes its language's limit, a language with fewer takes that of all
+documents, both under the same ceilings.  A document that exceeds any limit of
+its group is rejected.
 
 Histograms are aggregated on the map side (a hot source costs at most 1001
 rows per metric and task); thresholds are one row per group and are joined to
@@ -27,14 +33,16 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: metric: (guard, multiple) in thousandths of its base.
+#: metric: (upper quantile in per cent, guard in thousandths of the base).  The
+#: guard is about one symbol in a line, one line of a page, or one sentence.
 METRICS = {
-    "symbols": (50, 6),      # symbols per word character
-    "dup_lines": (400, 4),   # lines equal to an earlier line
-    "repeats": (450, 4),     # words in repeated 3-word windows
-    "shouting": (100, 6),    # A-Z and ! per word character
+    "symbols": (90, 10),     # symbols per word character
+    "dup_lines": (98, 50),   # lines equal to an earlier line
+    "repeats": (98, 30),     # words in repeated 3-word windows
+    "shouting": (98, 10),    # A-Z and ! per word character
 }
-MIN_DOCS = 200
+#: A group with fewer documents doesn't show its upper quantiles.
+MIN_DOCS = 100
 MIN_WORDS = 50
 UPPER_BANG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!"
 SYMBOLS = "#*$%&|<>"
@@ -104,39 +112,70 @@ def merge(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "metric", "value").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group one row: docs, and the threshold of each metric.  A sketch
-    has at most 1001 values per metric, gathered and read in order."""
+def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, docs, mid, spread).  A sketch has at most 1001 values per metric,
+    gathered and read in order."""
+    top, guard = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for m, (q, g) in METRICS.items():
+        top = F.when(F.col("metric") == m, F.lit(q)).otherwise(top)
+        guard = F.when(F.col("metric") == m, F.lit(g)).otherwise(guard)
     hist = sketch.groupBy(*by, "metric").agg(
         F.array_sort(F.collect_list(F.struct("value", "n"))).alias("h"), F.sum("n").alias("docs"))
-    at = ("aggregate(h, named_struct('c', 0L, 'v', -1), (a, x) -> named_struct("
-          "'c', a.c + x.n, 'v', CASE WHEN a.v < 0 AND (a.c + x.n) * {d} >= docs * {m} "
-          "THEN x.value ELSE a.v END)).v")
-    hist = hist.select(*by, "metric", "docs", F.expr(at.format(m=1, d=2)).alias("q50"),
-                       F.expr(at.format(m=3, d=4)).alias("q75"))
-    limit = F.lit(None).cast("int")
-    for m, (guard, multiple) in METRICS.items():
-        limit = F.when(F.col("metric") == m, F.col("q50") + F.greatest(
-            F.lit(guard), F.lit(multiple) * (F.col("q75") - F.col("q50")))).otherwise(limit)
-    return hist.groupBy(*by).agg(F.max("docs").alias("docs"), *[
-        F.max(F.when(F.col("metric") == m, limit)).alias(f"max_{m}") for m in METRICS])
+    hist = hist.withColumns({"__top": top, "__guard": guard})
+    hist = hist.select(*by, "metric", "docs", "__guard", _quantile("h", "docs", "50").alias("mid"),
+                       _quantile("h", "docs", "__top").alias("q"))
+    far = F.col("q") - F.col("mid")
+    return hist.select(*by, "metric", "docs", "mid", (far + F.greatest(F.col("__guard"), far)).alias("spread"))
+
+
+def _quantile(h: str, total: str, per_cent: str):
+    """The least value of a sorted histogram that covers ``per_cent`` of it."""
+    return F.expr(
+        f"aggregate({h}, named_struct('c', 0L, 'v', -1), (a, x) -> named_struct("
+        f"'c', a.c + x.n, 'v', CASE WHEN a.v < 0 AND (a.c + x.n) * 100 >= {total} * {per_cent} "
+        "THEN x.value ELSE a.v END)).v")
+
+
+def ceilings(group_limits: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, cap): 3/2 of the middle spread, each group counted once."""
+    sketch = group_limits.groupBy(*by, "metric", F.col("spread").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"))
+    hist = sketch.groupBy(*by, "metric").agg(
+        F.array_sort(F.collect_list(F.struct("value", "n"))).alias("h"), F.sum("n").alias("groups"))
+    return hist.select(*by, "metric",
+                       F.floor(_quantile("h", "groups", "50") * 3 / 2).cast("int").alias("cap"))
 
 
 def thresholds(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per (lang, source), backed off to lang and to all documents."""
+    """One row per (lang, source): the limit of every metric."""
     own = materialize(sketches(rows), "quality_sketches")
-    q = quantiles(own, ["lang", "source"]).alias("s")
-    by_lang = quantiles(merge(own, ["lang"]), ["lang"]).alias("l")
-    by_all = quantiles(merge(own, []).withColumn("__one", F.lit(1)), ["__one"]).alias("a")
-    groups = rows.select("lang", "source", F.lit(1).alias("__one")).distinct().alias("g")
-    t = groups.join(q, F.col("g.lang").eqNullSafe(F.col("s.lang"))
-                    & F.col("g.source").eqNullSafe(F.col("s.source")), "left") \
-        .join(by_lang, F.col("g.lang").eqNullSafe(F.col("l.lang")), "left") \
-        .join(by_all, F.col("g.__one") == F.col("a.__one"), "left")
-    return t.select("g.lang", "g.source", *[
-        F.when(F.col("s.docs") >= min_docs, F.col(f"s.max_{m}"))
-        .when(F.col("l.docs") >= min_docs, F.col(f"l.max_{m}"))
-        .otherwise(F.col(f"a.max_{m}")).alias(f"max_{m}") for m in METRICS])
+    by_source = materialize(limits(own, ["lang", "source"]), "quality_limits")
+    large = by_source.filter(F.col("docs") >= min_docs)
+    langs = limits(merge(own, ["lang"]), ["lang"])
+    lang_caps = ceilings(large, ["lang"]).withColumnRenamed("lang", "__lang")
+    langs = langs.withColumnRenamed("lang", "__l").join(
+        lang_caps.withColumnRenamed("metric", "__m"),
+        F.col("__l").eqNullSafe(F.col("__lang")) & (F.col("metric") == F.col("__m")), "left")
+    langs = materialize(langs.select(F.col("__l").alias("lang"), "metric", "docs", "mid", "spread", "cap"),
+                        "quality_lang_limits").alias("l")
+    overall = limits(merge(own, []), []).join(ceilings(large, []), "metric", "left")
+    overall = materialize(overall, "quality_overall_limits").alias("a")
+    groups = rows.select("lang", "source").distinct().select(
+        "lang", "source", F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric")).alias("g")
+    s = by_source.alias("s")
+    same = F.col("g.lang").eqNullSafe(F.col("s.lang")) & F.col("g.source").eqNullSafe(
+        F.col("s.source")) & (F.col("g.metric") == F.col("s.metric"))
+    t = groups.join(s, same, "left") \
+        .join(langs, F.col("g.lang").eqNullSafe(F.col("l.lang"))
+              & (F.col("g.metric") == F.col("l.metric")), "left") \
+        .join(overall, F.col("g.metric") == F.col("a.metric"), "left")
+    # least() skips nulls: without a group of min_docs there is no ceiling
+    lim = F.when(F.col("s.docs") >= min_docs, F.col("s.mid") + F.least("s.spread", "l.cap")) \
+        .when(F.col("l.docs") >= min_docs, F.col("l.mid") + F.least("l.spread", "l.cap")) \
+        .otherwise(F.col("a.mid") + F.least("a.spread", "a.cap"))
+    t = t.select("g.lang", "g.source", "g.metric", lim.alias("lim"))
+    return t.groupBy("lang", "source").agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("lim"))).alias(f"max_{m}") for m in METRICS])
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = (), min_docs: int = MIN_DOCS) -> DataFrame:

@@ -87,6 +87,52 @@ def test_thresholds_follow_their_group(spark):
     assert not got[2000]["kept"] and got[2001]["kept"]
 
 
+def test_a_source_of_one_third_junk_does_not_raise_its_own_limit(spark):
+    """Sources a to d hold clean text, the largest one a third of junk as
+    well; one source uses more symbols than the others and keeps its own."""
+    rnd = random.Random(5)
+
+    def text(symbols, n=100):
+        return " ".join(f"{rnd.randrange(10 ** 6):06d}x" for _ in range(n)) + " " + "#" * symbols
+
+    rows = [(k * 1000 + i, text(rnd.choice((0, 0, 0, 2, 4))), "en", s)
+            for k, s in enumerate("abcd") for i in range(150)]
+    rows += [(10000 + i, text(rnd.choice((0, 2, 4))), "en", "hot") for i in range(600)]
+    junk = [(20000 + i, text(60 + rnd.randrange(200)), "en", "hot") for i in range(300)]
+    usual = [(30000 + i, text(20 + rnd.choice((0, 2, 4))), "en", "code") for i in range(150)]
+    odd = [(40000, text(24), "en", "a"), (40001, text(24), "en", "code")]   # one text, two verdicts
+    got = {r["doc_id"]: r for r in qualityrules.judge(documents(spark, rows + junk + usual + odd)).collect()}
+    assert all(got[r[0]]["kept"] for r in rows + usual)
+    assert not any(got[r[0]]["kept"] for r in junk)
+    assert not got[40000]["kept"] and got[40001]["kept"]
+
+
+def test_limits_differ_between_groups(spark):
+    """On given data: limits come from the sketches, and the same value of a
+    metric is accepted in one group and rejected in another."""
+    docs = frame(spark, "documents", SF01)
+    got = qualityrules.judge(docs, min_docs=10, keep=("source",)).toPandas()
+    for m in ("dup_lines", "repeats", "shouting"):
+        assert got[f"max_{m}"].nunique() > 3, m
+    for m in ("dup_lines", "repeats"):
+        out = got[~got.base_failed & (got[m] > got[f"max_{m}"])]
+        assert any(((got[f"max_{m}"] >= v) & ~got.base_failed).any() for v in out[m]), m
+
+
+def test_quality_rules_odd_inputs(spark):
+    """Clashing names, nulls in any column, one very long text, repeated rows,
+    an empty table."""
+    rows = [(None, None, None, None), (1, "", "en", None), (1, "", "en", None),
+            (2, "word " * 400000, "en", "s"), (3, " ".join(map(str, range(90))), None, "s")]
+    docs = documents(spark, rows).withColumns({"kept": F.lit(1), "value": F.lit("x"), "metric": F.lit(2)})
+    got = qualityrules.judge(docs).collect()
+    assert len(got) == 5 and [r["n_words"] for r in got if r["doc_id"] == 2] == [400000]
+    assert [r["kept"] for r in got if r["doc_id"] == 3] == [True]
+    assert all(r["base_failed"] for r in got if r["doc_id"] != 3)
+    empty = qualityrules.judge(docs.limit(0))
+    assert empty.count() == 0 and empty.columns == qualityrules.judge(docs).columns
+
+
 def test_quality_rules_keep_good_documents(spark):
     got = qualityrules.judge(frame(spark, "documents", SF01)).join(frame(spark, "labels", SF01), "doc_id")
     pdf = got.select("kept", "quality", "base_failed").toPandas()
