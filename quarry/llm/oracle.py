@@ -6,7 +6,8 @@ from __future__ import annotations
 from .bestposition import TOP
 from .linededup import MIN_CHARS
 from .qualityrules import METRICS, MIN_DOCS, MIN_WORDS
-from .urlfilter import CANONICAL, CANONICAL_2, DEFAULT, REFRESH, RULES, TRACKING, UPPER
+from .urlfilter import (DEFAULT, HREF, IS_CANONICAL, IS_REFRESH, LINK_TAG, META_TAG, OPAQUE, REFRESH_URL,
+                        RULES, TRACKING, UPPER)
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -113,13 +114,32 @@ def _url() -> str:
 
     quote = lambda s: s.replace("'", "''")
     links = " UNION ALL ".join(
-        f"SELECT url, regexp_extract(html, '{quote(x)}', 1) AS target FROM u"
-        for x in (CANONICAL, CANONICAL_2, REFRESH))
+        f"SELECT url, regexp_extract(tag, '{quote(x)}', 1) AS target FROM "
+        f"(SELECT url, unnest(regexp_extract_all(html, '{quote(tag)}')) AS tag FROM u) "
+        f"WHERE regexp_matches(tag, '{quote(kind)}')"
+        for tag, kind, x in ((LINK_TAG, IS_CANONICAL, HREF), (META_TAG, IS_REFRESH, REFRESH_URL)))
+    # segments of a path, the emptied ones ("." and what ".." takes back) dropped from the right
+    folded = ("list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(parts, lambda x: [x])), "
+              "lambda a, x: CASE x[1] WHEN '..' THEN a[1:len(a) - 1] WHEN '.' THEN a "
+              "ELSE list_concat(a, x) END)")
     r = rest("url")
     return f"""
 WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-links AS (SELECT {form('url')} AS a, {form('target')} AS b FROM ({links})
-          WHERE contains(target, '://')),
+found AS (SELECT url, target, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme,
+          regexp_extract({r}, '(?s)^[^/?#]*', 0) AS base, regexp_extract({r}, '(?s)^[^/?#]*([^?#]*)', 1) AS own,
+          regexp_extract(target, '(?s)^[^?#]*', 0) AS way, regexp_extract(target, '(?s)^[^?#]*(.*)$', 1) AS rest,
+          regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') AS whole FROM ({links}) WHERE target <> ''),
+split AS (SELECT *, string_split(substr(CASE WHEN starts_with(way, '/') THEN way ELSE
+          coalesce(nullif(regexp_extract(own, '(?s)^.*/', 0), ''), '/') || way END, 2), '/') AS parts FROM found),
+folded AS (SELECT *, {folded} AS stack FROM split),
+links AS (SELECT {form('url')} AS a, {form('target')} AS b, target FROM (
+          SELECT url, CASE WHEN whole THEN target WHEN NOT contains(url, '://') THEN NULL
+          WHEN starts_with(target, '//') THEN scheme || ':' || target
+          WHEN regexp_matches(target, '{OPAQUE}') THEN NULL
+          WHEN way = '' THEN scheme || '://' || base || own || rest
+          ELSE scheme || '://' || base || '/' || array_to_string(stack, '/') ||
+               CASE WHEN parts[len(parts)] IN ('.', '..') AND len(stack) > 0 THEN '/' ELSE '' END || rest END
+          AS target FROM folded) WHERE target IS NOT NULL),
 sym AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM sym UNION
           SELECT reach.node, sym.b FROM reach JOIN sym ON reach.other = sym.a),
@@ -129,7 +149,12 @@ p AS (SELECT page_id, {form('url')} AS node,
       regexp_extract({r}, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
 f AS (SELECT p.*, coalesce(root, p.node) AS alias_class, list_max([{fits}]) AS own
       FROM p LEFT JOIN root ON p.node = root.node),
-d AS (SELECT alias_class, max(own.allow) AS allow FROM f WHERE own IS NOT NULL GROUP BY alias_class)
+ends AS (SELECT b AS node, translate(regexp_extract({rest('target')}, '(?s)^[^/?#]*', 0),
+         '{UPPER}', '{UPPER.lower()}') AS host,
+         regexp_extract({rest('target')}, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM links WHERE b IS NOT NULL),
+said AS (SELECT alias_class, own.allow AS allow FROM f WHERE own IS NOT NULL UNION ALL
+         SELECT coalesce(root, ends.node), list_max([{fits}]).allow FROM ends LEFT JOIN root ON ends.node = root.node),
+d AS (SELECT alias_class, max(allow) AS allow FROM said WHERE alias_class IS NOT NULL GROUP BY alias_class)
 SELECT page_id, host, path, own.rule AS rule,
        CASE coalesce(own.allow, d.allow, {int(DEFAULT == 'allow')})
        WHEN 1 THEN 'allow' ELSE 'block' END AS verdict, f.alias_class

@@ -4,10 +4,11 @@ A url's own rule decides first: rules name a host (and all its subdomains)
 and a path prefix, the longest fitting rule wins.  A url without a rule gets
 the decision of its aliases: pages are linked by redirect and canonical-link
 edges, and in each connected component an explicit allow takes precedence
-over a block; a component without any decision is allowed.
+over a block (the rules of linked addresses count, crawled or not); a component without any decision is allowed.
 
 Edges come from the page itself: ``<link rel=canonical>`` and
-``<meta http-equiv=refresh>`` in its html (absolute targets), and the url's
+``<meta http-equiv=refresh>`` in its html (every one; relative targets are
+resolved against the page's url), and the url's
 canonical form, to which sites redirect (scheme, ``www.``/``m.`` prefix,
 fragment, tracking parameters, ``.html`` and a trailing slash removed).  A
 table of observed redirects (from_url, to_url) may be given as well.
@@ -42,12 +43,15 @@ RULES = (
 )
 DEFAULT = "allow"
 TRACKING = r"(?i)^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
-CANONICAL = (r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical[\"']?[^>]*?\bhref\s*=\s*"
-             r"[\"']?([^\"'\s>]+)")
-CANONICAL_2 = (r"(?is)<link\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)[\"']?[^>]*?\brel\s*=\s*"
-               r"[\"']?canonical")
-REFRESH = (r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh[\"']?[^>]*?\burl\s*=\s*"
-           r"[\"']?([^\"'\s>]+)")
+#: The tags that may name another address of the page, and the address in them.
+LINK_TAG = r"(?is)<link\b[^>]*>"
+IS_CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
+HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+META_TAG = r"(?is)<meta\b[^>]*>"
+IS_REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
+REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: A target with a scheme but no host (mailto:, javascript:) is no address.
+OPAQUE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def after_scheme(url: Column) -> Column:
@@ -92,15 +96,46 @@ def canonical_form(url: Column) -> Column:
     return F.when(host != "", form)
 
 
+def resolved(url: Column, target: Column) -> Column:
+    """The absolute form of a link target of the page at ``url``: absolute,
+    ``//host/path``, ``/path``, ``?query`` or relative to the page's folder,
+    with ``./`` and ``../`` taken out; null for other schemes and for pages
+    without an absolute url."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    base = F.concat(scheme, F.lit("://"), F.regexp_extract(after_scheme(url), r"(?s)^[^/?#]*", 0))
+    own = path_of(url)
+    folder = F.coalesce(F.nullif(F.regexp_extract(own, r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    # a stack of segments: ".." drops the last one, "." and the first "" add none
+    parts = F.split(F.substring(full, 2, F.length(full)), "/")
+    stack = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(
+        x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(
+        F.concat(a, F.array(x))))
+    ends = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(stack) > 0), F.lit("/")).otherwise(F.lit(""))
+    absolute = F.when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target) \
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target)) \
+        .when(F.rlike(target, F.lit(OPAQUE)), F.lit(None).cast("string")) \
+        .when(path == "", F.concat(base, own, rest)) \
+        .otherwise(F.concat(base, F.lit("/"), F.array_join(stack, "/"), ends, rest))
+    return F.when((F.instr(url, "://") > 0) | F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), absolute)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of the canonical and refresh links in the html."""
+    """(url, target) of every canonical and refresh link in the html."""
+    def targets(tag: str, kind: str, address: str) -> Column:
+        tags = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda x: x.rlike(kind))
+        return F.transform(tags, lambda x: F.regexp_extract(x, address, 1))
+
     html = F.coalesce(F.col("html"), F.lit(""))
     marked = pages.select("url", html.alias("html")).filter(
         F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh"))
-    found = marked.select("url", F.explode(F.array(
-        F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", CANONICAL_2, 1),
-        F.regexp_extract("html", REFRESH, 1))).alias("target"))
-    return found.filter(F.instr("target", "://") > 0)
+    found = marked.select("url", F.explode(F.concat(
+        targets(LINK_TAG, IS_CANONICAL, HREF), targets(META_TAG, IS_REFRESH, REFRESH_URL)))
+        .alias("target")).filter(F.col("target") != "")
+    return found.select("url", resolved(F.col("url"), F.col("target")).alias("target")) \
+        .filter(F.col("target").isNotNull())
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None,
@@ -110,24 +145,31 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("from_url").alias("url"),
                                                    F.col("to_url").alias("target")))
-    edges = links.select(canonical_form(F.col("url")).alias("a"),
-                         canonical_form(F.col("target")).alias("b")) \
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    edges = materialize(edges.distinct(), "url_edges")
+    def rule_of(c: str) -> Column:
+        return longest_rule(host_of(F.col(c)), path_of(F.col(c)), rules)
+
+    # both ends of a link are addresses with rules of their own, crawled or not
+    links = materialize(links.select(
+        canonical_form(F.col("url")).alias("a"), canonical_form(F.col("target")).alias("b"),
+        rule_of("url").getField("allow").alias("allow_a"),
+        rule_of("target").getField("allow").alias("allow_b")).distinct(), "url_links")
+    edges = links.select("a", "b").filter(
+        F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    roots = materialize(components(edges), "url_components")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"),
                         path_of(F.col("url")).alias("path"),
                         canonical_form(F.col("url")).alias("node"))
     rows = rows.withColumn("own", longest_rule(F.col("host"), F.col("path"), rules))
-    if edges.limit(1).count():
-        roots = materialize(components(edges), "url_components")
-        rows = rows.join(roots, "node", "left").withColumn(
-            "alias_class", F.coalesce("root", "node")).drop("root")
-    else:
-        rows = rows.withColumn("alias_class", F.col("node"))
-    rows = materialize(rows.drop("node"), "url_rows")
+    rows = rows.join(roots, "node", "left").withColumn("alias_class", F.coalesce("root", "node"))
+    rows = materialize(rows.drop("node", "root"), "url_rows")
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.col("allow_a").alias("allow")),
+        F.struct(F.col("b").alias("node"), F.col("allow_b").alias("allow")))).alias("e")).select("e.*") \
+        .filter(F.col("allow").isNotNull()).join(roots, "node", "left") \
+        .select(F.coalesce("root", "node").alias("alias_class"), "allow")
     # decisions of a class: one row per class that has any, allow before block
-    decided = rows.filter(F.col("own").isNotNull() & F.col("alias_class").isNotNull()) \
-        .groupBy("alias_class").agg(F.max("own.allow").alias("allow"))
+    decided = rows.filter(F.col("own").isNotNull()).select("alias_class", "own.allow").unionByName(ends) \
+        .filter(F.col("alias_class").isNotNull()).groupBy("alias_class").agg(F.max("allow").alias("allow"))
     decided = materialize(decided, "url_decisions")
     got = rows.join(decided, "alias_class", "left")
     inherited = F.when(F.col("allow") == 1, F.lit("allow")).when(

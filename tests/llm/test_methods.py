@@ -506,6 +506,55 @@ def test_url_aliases(spark):
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
 
 
+LINKS = ["http://x.net/es/1", "//x.net/es/1", "/es/1", "1", "./1", "../es/1", "../../../es/./1", "?a=b#c", "#top",
+         "HTTPS://x.net/es/1", "mailto:a@b.c", "javascript:go()", "es/../1", "..", ".", "a/..", "/", "", "x:1"]
+
+
+def test_link_targets_against_the_public_resolver(spark):
+    from urllib.parse import urljoin
+
+    urls = ["http://x.net/es/2", "https://x.net", "http://x.net/", "http://x.net/a/b/c.html?q=/z#f", "http://x.net/a/"]
+    cases = [(u, t) for u in urls for t in LINKS if t]
+    got = spark.createDataFrame(cases, "url string, target string").withColumn(
+        "r", urlfilter.resolved(F.col("url"), F.col("target"))).collect()
+    for r in got:
+        whole = urljoin(r["url"], r["target"])
+        if ":" in r["target"] and "//" not in r["target"]:
+            assert r["r"] is None, r
+            continue
+        # a fragment or query alone keeps the page; case of the scheme is no matter
+        want = urlfilter.canonical_form(F.lit(whole))
+        assert spark.range(1).select(want == urlfilter.canonical_form(F.lit(r["r"]))).first()[0] or \
+            (r["target"] == "#top" and r["r"].split("?")[0].split("#")[0] == whole.split("?")[0].split("#")[0]), (r, whole)
+
+
+def test_every_link_of_a_page_counts(spark, tmp_path):
+    import duckdb
+
+    from quarry.llm.oracle import oracle_sql
+
+    rows = [(1, "http://x.net/1", "<link rel=canonical href=/es/1>"), (2, "http://x.net/es/1", None),
+            (3, "http://m.org/a", '<link rel="canonical" href="http://m.org/b"><p><link href="../fr/../q/2" '
+                                  'rel="canonical"><LINK rel=stylesheet href="http://ok.com/">'),
+            (4, "http://m.org/b", "<link rel=canonical href='//y.net/fr/9'>"), (5, "http://m.org/q/2", None),
+            (6, "no scheme", "<link rel=canonical href=/es/1>"), (7, "http://n.org/", "<link rel=canonical href=''>"),
+            (8, "http://n.org/7", "<meta http-equiv=refresh content='5; url=../es/1'>"
+                                  "<meta http-equiv=refresh content='5; url=http://x.net/es/3'>"), (9, None, None)]
+    rows += [(100 + i, f"http://w.org/p{i}/q", f"<link rel=canonical href={t!r}>") for i, t in enumerate(LINKS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urlfilter.filter_urls(pages).collect()}
+    assert {i: got[i]["verdict"] for i in range(1, 10)} == {
+        1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "block", 9: "allow"}
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.execute(oracle_sql()["op10_url_filters"]).df().set_index("page_id")
+    for i, r in got.items():
+        for name in ("host", "path", "rule", "verdict", "alias_class"):
+            a, b = r[name], want.loc[i, name]
+            assert a == (None if pd.isna(b) else b), (i, name, a, b)
+
+
 def test_decontamination_in_item_blocks_and_with_a_sampled_fit(spark, monkeypatch):
     """Items searched block by block, the space fitted on a few passages: the
     same leaks as brute force finds; an answer column decides paraphrases."""
