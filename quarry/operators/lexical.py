@@ -31,6 +31,7 @@ from ..functions.stopwords import ENGLISH
 from ..functions.text import (ngram_range, remove_stop_words, text_as_string,
                               tokenize)
 from ..session import materialize
+from .heavy_terms import COUNTERS, top_candidates
 from .impact import impact_top_k
 from .ranking import top_k_per_query
 
@@ -249,19 +250,25 @@ def top_k_vocabulary(term_stats: DataFrame, size: int = TFIDF_VOCAB_SIZE) -> Dat
 def tfidf_index(corpus: DataFrame, ngram: tuple[int, int] = (1, 1),
                 vocab_size: int = TFIDF_VOCAB_SIZE, stop_words: list[str] | None = None,
                 vocab_corpus: DataFrame | None = None, id_col: str = "doc_id",
-                text_col: str = "text") -> TfidfIndex:
-    """Two passes over the text: term counts for the vocabulary (aggregated on
-    the map side), then the weights of the vocabulary's terms only."""
+                text_col: str = "text", counters: int = COUNTERS) -> TfidfIndex:
+    """Two passes over the text: summaries of the heaviest terms, then exact
+    counts of the terms that may belong to the vocabulary, by document.  Both
+    the vocabulary and the weights come from these counts (from a pass of its
+    own for the weights, where the vocabulary is fitted on another corpus)."""
     if stop_words is None:
         stop_words = default_stop_words()
     fit_docs = corpus if vocab_corpus is None else vocab_corpus
-    stats = ngram_counts(fit_docs, ngram, stop_words, id_col, text_col).groupBy("term").agg(
+    candidates = top_candidates(fit_docs, analyze(text_col, ngram, stop_words), vocab_size, counters)
+    counts = materialize(_only(ngram_counts(fit_docs, ngram, stop_words, id_col, text_col),
+                               candidates), "candidate_counts")
+    stats = counts.groupBy("term").agg(
         F.sum("tf").cast("long").alias("cf"), F.count(F.lit(1)).alias("df"))
     n = _scalar(fit_docs, F.count(F.lit(1)).cast("double"))
     vocab = materialize(top_k_vocabulary(stats, vocab_size).withColumn(
         "idf", F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)), "vocabulary")
     index = TfidfIndex(None, vocab, ngram, stop_words)
-    counts = ngram_counts(corpus, ngram, stop_words, id_col, text_col)
+    if vocab_corpus is not None:
+        counts = ngram_counts(corpus, ngram, stop_words, id_col, text_col)
     index.weights = materialize(_l2_normalise(_weigh(counts, index), "doc_id")
                                 .select("doc_id", "term", "w"), "weights")
     return index
@@ -270,10 +277,14 @@ def tfidf_index(corpus: DataFrame, ngram: tuple[int, int] = (1, 1),
 def _weigh(counts: DataFrame, index: TfidfIndex) -> DataFrame:
     """tf * idf of the vocabulary's terms; the vocabulary is broadcast when
     its bytes allow it."""
-    side = index.vocab.select("term", "idf")
+    return _only(counts, index.vocab.select("term", "idf")).withColumn("w", F.col("tf") * F.col("idf"))
+
+
+def _only(counts: DataFrame, side: DataFrame) -> DataFrame:
+    """The counts of the side's terms."""
     if bytes_at_most(side, BROADCAST_MAX_BYTES):
         side = F.broadcast(side)
-    return counts.join(side, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return counts.join(side, "term")
 
 
 def _l2_normalise(w: DataFrame, key: str) -> DataFrame:
