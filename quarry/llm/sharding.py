@@ -14,6 +14,10 @@ placed first, largest first, into the emptiest shard (there are at most
 range that reach the driver); it is split only where it fits no shard.  The
 other groups fill the room that is left, in key order.
 
+What the driver, a closure or a broadcast holds doesn't grow with the rows:
+at most ``MAX_RANGES`` ranges (or 8 a shard) are asked for, with 32 sampled
+keys each, and subdividing a range adds as many as it holds means.
+
 Defined results: a null text is an empty one (size 1); a null doc_id sorts
 first; repeated rows are separate rows of one group; an empty table gives an
 empty result; other columns of the input are ignored unless named in
@@ -35,9 +39,9 @@ from ..session import materialize
 LARGE = 64            # a group above share / LARGE is placed as a whole first
 ROWS_PER_RANGE = 200_000
 RANGES_PER_SHARD = 8
+MAX_RANGES = 16_384   # more rows make longer ranges, which Spark sorts with spilling
 SAMPLE_PER_RANGE = 32
 OVERFULL = 1.5        # a range above this many times the mean is subdivided
-MAX_ROUNDS = 8
 
 SIGN = -(1 << 63)
 
@@ -90,28 +94,31 @@ def assign_range(rows: DataFrame, splitters: list[str]) -> DataFrame:
 
 def choose_splitters(rows: DataFrame, n_ranges: int, total: int) -> list[str]:
     """Sampled quantile boundaries; overfull ranges are subdivided until none
-    is left or its keys are all the same."""
+    is left but those whose sampled keys are all the same."""
+    mean = total / n_ranges
     splitters = quantile_keys(_sampled(rows, n_ranges * SAMPLE_PER_RANGE, total), n_ranges)
-    limit = OVERFULL * total / n_ranges
-    for _ in range(MAX_ROUNDS):
+    whole = set()         # lower ends of ranges that a sample couldn't divide
+    while True:
         ranged = assign_range(rows.select("__key", "__size"), splitters)
         full = ranged.groupBy("__range").agg(F.sum("__size").alias("b")) \
-            .filter(F.col("b") > limit).collect()
-        if not full:
-            break
-        over = {r["__range"]: r["b"] for r in full}
-        inside = ranged.filter(F.col("__range").isin(list(over)))
-        per = SAMPLE_PER_RANGE * int(np.ceil(max(over.values()) / (total / n_ranges)))
-        sample = _sampled(inside, per * len(over), sum(over.values()))
-        new = set()
-        for r, b in over.items():
-            own = [x for x in sample if bisect_right(splitters, x[0]) == r]
-            new |= set(quantile_keys(own, int(np.ceil(b / (total / n_ranges))) + 1))
-        merged = sorted(set(splitters) | new)
-        if merged == splitters:
-            break
-        splitters = merged
-    return splitters
+            .filter(F.col("b") > OVERFULL * mean).collect()
+        over = {r["__range"]: r["b"] for r in full
+                if (splitters[r["__range"] - 1] if r["__range"] else None) not in whole}
+        if not over:
+            return splitters
+        inside = ranged.join(F.broadcast(rows.sparkSession.createDataFrame(
+            [(r,) for r in over], "__range int")), "__range")
+        parts = {r: int(np.ceil(b / mean)) + 1 for r, b in over.items()}
+        sample: dict[int, list] = {r: [] for r in over}
+        for x in _sampled(inside, SAMPLE_PER_RANGE * sum(parts.values()), sum(over.values())):
+            sample[bisect_right(splitters, x[0])].append(x)
+        known, new = set(splitters), set()
+        for r in over:
+            own = set(quantile_keys(sample[r], parts[r])) - known
+            if not own:
+                whole.add(splitters[r - 1] if r else None)
+            new |= own
+        splitters = sorted(known | new)
 
 
 def place_large(groups: list[tuple[str, int]], shards: int, share: float):
@@ -160,7 +167,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, payload: tuple[str, ...] =
             "__key": F.when(big, F.concat("__group", id_key(F.col("__id"))))
                       .otherwise(F.col("__group"))})
 
-    n_ranges = max(shards * RANGES_PER_SHARD, -(-n // ROWS_PER_RANGE))
+    n_ranges = max(shards * RANGES_PER_SHARD, min(-(-n // ROWS_PER_RANGE), MAX_RANGES))
     splitters = choose_splitters(rows(narrow), n_ranges, total)
 
     # exact bytes before each range: of the small groups, and of each large one

@@ -118,6 +118,33 @@ def test_sharding_hot_text(spark):
     assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))
 
 
+def test_splitters_are_bounded_and_overfull_ranges_subdivided(spark, monkeypatch):
+    # a third of the bytes lie in one narrow stretch of keys, a tenth in one key
+    data = [(f"b{i:06d}", 10) for i in range(4000)] + [(f"m{i:06d}", 600) for i in range(50)] \
+        + [("t", 900)] * 10 + [(f"x{i:06d}", 10) for i in range(4000)]
+    keys = spark.createDataFrame(data, "__key string, __size long")
+    total = sum(n for _, n in data)
+    monkeypatch.setattr(sharding, "SAMPLE_PER_RANGE", 4)     # a poor first sample
+    splitters = sharding.choose_splitters(keys, 20, total)
+    held = {}
+    for k, n in data:
+        at = sum(s <= k for s in splitters)
+        held.setdefault(at, [0, set()])
+        held[at][0] += n
+        held[at][1].add(k)
+    assert 10 < len(splitters) < 100 and splitters == sorted(set(splitters))
+    assert all(b <= sharding.OVERFULL * total / 20 or "t" in names for b, names in held.values())
+    assert sharding.choose_splitters(keys.limit(0), 20, 0) == []
+    # longer ranges give the same contract
+    monkeypatch.setattr(sharding, "MAX_RANGES", 4)
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", 1)
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 10)
+    got = sharding.shard_by_bytes(documents(spark, small_documents(spark)), shards=4).toPandas()
+    by = got.groupby("shard")["size"].sum()
+    assert by.max() - by.min() < 0.05 * by.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_substrings_hot_keys_empty_tables_long_texts_and_clashing_columns(spark, monkeypatch):
     """Keys dealt over tasks from 5 rows on; a very long text with copies over
     its tile borders; no rows; columns named like the operator's own."""
