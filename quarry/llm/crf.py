@@ -8,9 +8,17 @@ on the training documents turns it into the score.
 
 Training uses labelled documents only as far as ``crc32(doc_id as text) mod 5``
 is not 0, at most about ``MAX_TRAIN_DOCS`` of them (drawn by hash, so reruns
-agree); a document's label is the label of all its lines.  Labels, language,
-source and doc_id are never inputs of a score.  Scoring covers every text in
-full, each document inside its task, with a model of a few kilobytes.
+agree) and at most ``MAX_TRAIN_BYTES`` and ``MAX_TRAIN_LINES`` of text, taken in
+hash order; a document above 1/16 of either bound doesn't train.  A document's
+label is the label of all its lines.  Labels, language, source and doc_id are
+never inputs of a score.  Scoring covers every text in full, each document
+inside its task, with a model of a few kilobytes.
+
+Features are made for ``PIECE`` bytes of lines at a time and summed into the
+lines' potentials at once, so a line takes about 150 bytes of memory besides
+its text.  Chains advance together; one of very many lines is cut into segments
+of ``SEGMENT`` lines that advance like chains, and their 2 x 2 transfer matrices
+carry both passes over the cuts, which changes no result.
 
 Defined results: a null or empty text is one empty line and gets a score like
 any other; a doc_id with several labels trains with the largest; without any
@@ -24,12 +32,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .textscan import Texts, range_hash, slices
 
 MAX_TRAIN_DOCS = 3000
+MAX_TRAIN_BYTES = 64 << 20
+MAX_TRAIN_LINES = 400_000
+PIECE = 1 << 18
+SEGMENT = 512
 FOLDS = 5
 THRESHOLD = 0.3
 STEPS = 150
@@ -44,6 +57,7 @@ CLASSES = (
     bytes(int(b in b".,;:") for b in range(256)),
     bytes(int(b >= 0x80) for b in range(256)),
 )
+N_OWN = 3 * len(CLASSES) + 11
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,79 +65,155 @@ def held_out(doc_id: Column) -> Column:
                       F.lit(False))
 
 
-def line_features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, length in bytes, first line of each text)."""
-    start, end, first = t.lines()
+def _pieces(start: np.ndarray, end: np.ndarray):
+    """(lo, hi): runs of whole lines of about ``PIECE`` bytes."""
+    lo = 0
+    while lo < len(start):
+        hi = int(np.searchsorted(end, start[lo] + PIECE, side="right"))
+        hi = min(max(hi, lo + 1), lo + PIECE)
+        yield lo, hi
+        lo = hi
+
+
+def repeated_lines(t: Texts, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a line equals an earlier line of its text."""
+    n = len(start)
+    lh = np.empty(n, dtype=np.uint64)
+    for lo, hi in _pieces(start, end):
+        at = start[lo]
+        lh[lo:hi] = range_hash(t.raw[at:end[hi - 1]], start[lo:hi] - at, end[lo:hi] - at, seed=3)
+    owner = np.repeat(np.arange(t.n), np.diff(first))
+    order = np.lexsort((lh, owner))        # stable: equal lines stay in text order
+    dup = np.zeros(n, dtype=bool)
+    dup[order[1:]] = (lh[order[1:]] == lh[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    return dup
+
+
+def own_features(raw: bytes, start: np.ndarray, end: np.ndarray, dup: np.ndarray) -> np.ndarray:
+    """(lines, features) of the lines raw[start:end], which cover ``raw``."""
     n = len(start)
-    size = (end - start).astype(np.float64)
+    t = Texts.cut(raw, np.append(start, len(raw)))
     ws, we, _ = t.words()
     line_of = np.searchsorted(start, ws, side="right") - 1
     words = np.bincount(line_of, minlength=n).astype(np.float64)
     solid = np.bincount(line_of, weights=we - ws, minlength=n)
-    h = range_hash(t.raw, ws, we)
+    h = range_hash(raw, ws, we)
     same = np.zeros(len(ws), dtype=bool)
     same[1:] = (h[1:] == h[:-1]) & (line_of[1:] == line_of[:-1])
     repeats = np.bincount(line_of[same], minlength=n)
     one = np.bincount(line_of[we - ws == 1], minlength=n)
-    cols = []
+    x = np.empty((n, N_OWN))
     per = np.maximum(solid, 1)
-    for table in CLASSES:
-        cum = np.zeros(len(t.buf) + 1, dtype=np.int32)
-        np.cumsum(np.frombuffer(t.raw.translate(table), dtype=np.uint8), out=cum[1:])
+    for i, table in enumerate(CLASSES):
+        cum = np.zeros(len(raw) + 1, dtype=np.int32)
+        np.cumsum(np.frombuffer(raw.translate(table), dtype=np.uint8), out=cum[1:])
         share = (cum[end] - cum[start]) / per
-        cols += [share, np.sqrt(share), share > 0.08]
-    # a line equal to an earlier line of its text
-    owner = np.repeat(np.arange(t.n), np.diff(first))
-    lh = range_hash(t.raw, start, end, seed=3)
-    order = np.lexsort((np.arange(n), lh, owner))
-    dup = np.zeros(n)
-    if n > 1:
-        dup[order[1:]] = (lh[order[1:]] == lh[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
-    dup *= words > 0
+        x[:, 3 * i], x[:, 3 * i + 1], x[:, 3 * i + 2] = share, np.sqrt(share), share > 0.08
     w = np.maximum(words, 1)
-    cols += [repeats / w, repeats > 2, one / w, one / w > 0.3, dup, np.log1p(words) / 5,
-             np.minimum(solid / w, 30) / 10, (solid / w) < 3, (solid / w) > 9, words == 0,
-             (words > 0) & (words < 4)]
-    x = np.stack([np.asarray(c, dtype=np.float64) for c in cols], axis=1) if n else \
-        np.zeros((0, 3 * len(CLASSES) + 11))
-    prev, nxt = np.zeros_like(x), np.zeros_like(x)
-    if n > 1:
-        prev[1:], nxt[:-1] = x[:-1], x[1:]
-    edge_a, edge_z = np.zeros(n), np.zeros(n)
-    edge_a[first[:-1]], edge_z[first[1:] - 1] = 1, 1
-    prev[edge_a > 0] = 0
-    nxt[edge_z > 0] = 0
-    return np.concatenate((x, prev, nxt, edge_a[:, None], edge_z[:, None], np.ones((n, 1))), axis=1), \
-        size, first
-
-
-def _steps(first: np.ndarray):
-    """Line indices by position in their text: chains advance together."""
-    sizes = np.diff(first)
-    order = np.argsort(-sizes, kind="stable")
-    heads, sizes = first[:-1][order], sizes[order]
-    live = len(heads)
-    for k in range(int(sizes[0]) if live else 0):
-        while live and sizes[live - 1] <= k:
-            live -= 1
-        yield heads[:live] + k
+    for i, c in enumerate((
+            repeats / w, repeats > 2, one / w, one / w > 0.3, dup & (words > 0), np.log1p(words) / 5,
+            np.minimum(solid / w, 30) / 10, (solid / w) < 3, (solid / w) > 9, words == 0,
+            (words > 0) & (words < 4))):
+        x[:, 3 * len(CLASSES) + i] = c
+    return x
+
+
+def _own_by_piece(t: Texts, start: np.ndarray, end: np.ndarray, first: np.ndarray):
+    dup = repeated_lines(t, start, end, first)
+    for lo, hi in _pieces(start, end):
+        at = start[lo]
+        yield lo, hi, own_features(t.raw[at:end[hi - 1]], start[lo:hi] - at, end[lo:hi] - at, dup[lo:hi])
+
+
+def line_features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, length in bytes, first line of each text): a line's own
+    features, those of the line before and of the line after, whether it is a
+    text's first or last, and a constant."""
+    start, end, first = t.lines()
+    n = len(start)
+    x = np.zeros((n, 3 * N_OWN + 3))
+    head, tail = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    head[first[:-1]], tail[first[1:] - 1] = True, True
+    for lo, hi, own in _own_by_piece(t, start, end, first):
+        x[lo:hi, :N_OWN] = own
+    x[1:, N_OWN:2 * N_OWN] = np.where(head[1:, None], 0, x[:-1, :N_OWN])
+    x[:-1, 2 * N_OWN:3 * N_OWN] = np.where(tail[:-1, None], 0, x[1:, :N_OWN])
+    x[:, -3], x[:, -2], x[:, -1] = head, tail, 1
+    return x, (end - start).astype(np.float64), first
+
+
+def potentials(t: Texts, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line_features @ weights, length in bytes, first line of each text),
+    without the table of features."""
+    start, end, first = t.lines()
+    n = len(start)
+    e = np.tile(weights[-1], (n, 1))
+    e[first[:-1]] += weights[-3]
+    e[first[1:] - 1] += weights[-2]
+    head = np.zeros(n + 1, dtype=bool)      # a text's first line, and the end
+    head[first] = True
+    own, before, after = weights[:3 * N_OWN].reshape(3, N_OWN, 2)
+    for lo, hi, x in _own_by_piece(t, start, end, first):
+        e[lo:hi] += x @ own
+        last = min(hi, n - 1)               # lines lo + 1 .. last follow the piece's lines
+        e[lo + 1:last + 1] += np.where(head[lo + 1:last + 1, None], 0, (x @ before)[:last - lo])
+        skip = int(lo == 0)                 # lines lo - 1 + skip .. hi - 2 come before them
+        e[lo - 1 + skip:hi - 1] += np.where(head[lo + skip:hi, None], 0, (x @ after)[skip:])
+    return e, (end - start).astype(np.float64), first
+
+
+class _Steps:
+    """Indices by position in their chain: chains advance together.  ``order``
+    sorts chains by falling length; those still running come first."""
+
+    def __init__(self, first: np.ndarray):
+        sizes = np.diff(first)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.heads = first[:-1][self.order]
+        longest = int(sizes.max()) if len(sizes) else 0
+        self.live = np.searchsorted(-sizes[self.order], -np.arange(longest), side="left")
+
+    def later(self, backward: bool = False):
+        """Positions 1, 2, ... of the chains, or from the last one down to 1."""
+        ks = range(1, len(self.live))
+        for k in reversed(ks) if backward else ks:
+            yield self.heads[:self.live[k]] + k
+
+
+def _add(p: np.ndarray, axis: int) -> np.ndarray:
+    return np.logaddexp(p.take(0, axis), p.take(1, axis))
 
 
 def forward_backward(e: np.ndarray, first: np.ndarray, trans: np.ndarray):
     """(alpha, beta, log Z of each line's chain): e[line, label] and
     trans[from, to] are log potentials."""
+    sizes = np.diff(first)
+    per = -(-sizes // SEGMENT)
+    chain = np.concatenate(([0], np.cumsum(per)))      # segments of each chain
+    nth = np.arange(chain[-1]) - np.repeat(chain[:-1], per)
+    seg = np.append(np.repeat(first[:-1], per) + nth * SEGMENT, first[-1])
+    steps, inner = _Steps(seg), np.flatnonzero(nth)
     a, b = e.copy(), np.zeros_like(e)
-    steps = list(_steps(first))
-    for at in steps[1:]:
-        p = a[at - 1]
-        for y in (0, 1):
-            a[at, y] += np.logaddexp(p[:, 0] + trans[0, y], p[:, 1] + trans[1, y])
-    for at in reversed(steps[1:]):
-        q = e[at] + b[at]
-        for y in (0, 1):
-            b[at - 1, y] = np.logaddexp(q[:, 0] + trans[y, 0], q[:, 1] + trans[y, 1])
-    z = np.logaddexp(a[:, 0] + b[:, 0], a[:, 1] + b[:, 1])
-    return a, b, z
+    if len(inner):
+        # m[segment, label before, label of its last line]
+        m = e[seg[:-1]][:, None] + np.where((nth > 0)[:, None, None], trans, 0)
+        run = m[steps.order]
+        for at in steps.later():
+            n = len(at)
+            run[:n] = _add(run[:n, :, :, None] + trans, 2) + e[at][:, None]
+        m[steps.order] = run
+        fore, back, hops = m[:, 0].copy(), np.zeros((len(m), 2)), _Steps(chain)
+        for at in hops.later():
+            fore[at] = _add(fore[at - 1][:, :, None] + m[at], 1)
+        for at in hops.later(backward=True):
+            back[at - 1] = _add(m[at] + back[at][:, None], 2)
+        a[seg[inner]] += _add(fore[inner - 1][:, :, None] + trans, 1)
+        b[seg[1:] - 1] = back
+    for at in steps.later():
+        a[at] += _add(a[at - 1][:, :, None] + trans, 1)
+    for at in steps.later(backward=True):
+        b[at - 1] = _add((e[at] + b[at])[:, None] + trans, 2)
+    return a, b, _add(a + b, 1)
 
 
 @dataclass
@@ -133,17 +223,17 @@ class Model:
     slope: float
     offset: float
 
-    def good(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def good(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Each line's probability of label good."""
-        if not len(x):
-            return np.zeros(0)
-        a, b, z = forward_backward(x @ self.weights, first, self.trans)
+        a, b, z = forward_backward(e, first, self.trans)
         return np.exp(a[:, 1] + b[:, 1] - z)
 
     def raw(self, t: Texts) -> np.ndarray:
-        x, size, first = line_features(t)
+        if not t.n:
+            return np.zeros(0)
+        e, size, first = potentials(t, self.weights)
         w = np.maximum(size, 1)
-        p = self.good(x, first)
+        p = self.good(e, first)
         return np.add.reduceat(p * w, first[:-1]) / np.add.reduceat(w, first[:-1])
 
     def score(self, t: Texts) -> np.ndarray:
@@ -195,16 +285,28 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS):
-    """(texts, labels) of about ``max_docs`` labelled documents, on the driver."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS,
+                    max_bytes: int = MAX_TRAIN_BYTES, max_lines: int = MAX_TRAIN_LINES):
+    """(texts, labels) of about ``max_docs`` labelled documents within the
+    bounds, on the driver."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
                           & ~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     limit = int((1 << 32) * min(1.0, max_docs / max(n, 1)))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 32)) < limit)
-    got = docs.select("doc_id", "text").join(F.broadcast(drawn.limit(2 * max_docs)), "doc_id") \
-        .dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "quality").toArrow()
+    draw = F.xxhash64("doc_id", F.lit(5))
+    drawn = known.filter(F.pmod(draw, F.lit(1 << 32)) < limit)
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(drawn.limit(2 * max_docs)), "doc_id")
+                       .dropDuplicates(["doc_id"]), "crf_sample")
+    text = F.coalesce("text", F.lit(""))
+    size = rows.select("doc_id", draw.alias("draw"), F.octet_length(text).alias("bytes"), (
+        F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    # at most 2 * max_docs short rows
+    so_far = Window.orderBy("draw", "doc_id")
+    fits = size.filter((F.col("bytes") <= max_bytes // 16) & (F.col("lines") <= max_lines // 16)) \
+        .select("doc_id", F.sum("bytes").over(so_far).alias("bytes"), F.sum("lines").over(so_far).alias("lines")) \
+        .filter((F.col("bytes") <= max_bytes) & (F.col("lines") <= max_lines)).select("doc_id")
+    got = rows.join(F.broadcast(fits), "doc_id").orderBy("doc_id").select("text", "quality").toArrow()
     return got.column("text").combine_chunks(), got.column("quality").to_numpy()
 
 

@@ -76,6 +76,13 @@ class Texts:
                 self.offs = np.concatenate(([0], np.cumsum(np.where(null, 0, sizes))))
         self.n = len(b)
 
+    @classmethod
+    def cut(cls, raw: bytes, offs: np.ndarray) -> Texts:
+        """``raw`` as texts that begin at ``offs``, its length last."""
+        t = cls.__new__(cls)
+        t.raw, t.buf, t.offs, t.n = raw, np.frombuffer(raw, dtype=np.uint8), offs, len(offs) - 1
+        return t
+
     def text(self, i: int) -> bytes:
         return self.raw[self.offs[i]:self.offs[i + 1]]
 

@@ -143,7 +143,9 @@ def test_quality_rules_keep_good_documents(spark):
 
 # --------------------------------------------------------------- classifier
 
-def test_forward_backward_against_enumeration():
+@pytest.mark.parametrize("segment", [1, 3, 512])
+def test_forward_backward_against_enumeration(monkeypatch, segment):
+    monkeypatch.setattr(crf, "SEGMENT", segment)
     rnd = np.random.default_rng(0)
     first = np.array([0, 1, 4, 8])
     e, trans = rnd.normal(size=(8, 2)), rnd.normal(size=(2, 2))
@@ -157,6 +159,59 @@ def test_forward_backward_against_enumeration():
             assert abs(np.exp(a[lo + t, 1] + b[lo + t, 1] - z[lo + t]) - p1) < 1e-9
 
 
+def own_line_features(line, earlier):
+    """Plain version of the features of a line itself."""
+    words = line.split()
+    solid = sum(map(len, words))
+    n, out = max(len(words), 1), []
+    for table in crf.CLASSES:
+        share = sum(table[b] for b in line) / max(solid, 1)
+        out += [share, share ** 0.5, share > 0.08]
+    again = sum(x == y for x, y in zip(words, words[1:]))
+    one = sum(len(x) == 1 for x in words)
+    return out + [again / n, again > 2, one / n, one / n > 0.3, bool(words) and line in earlier,
+                  np.log1p(len(words)) / 5, min(solid / n, 30) / 10, solid / n < 3, solid / n > 9,
+                  not words, 0 < len(words) < 4]
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 18])
+def test_line_features_and_potentials(monkeypatch, piece):
+    monkeypatch.setattr(crf, "PIECE", piece)
+    texts = [None, "", "\n\n", "One two two two two\n\n# $5\nOne two two two two\nab", "ab", "é" * 30 + "\nx y z!"]
+    want = []
+    for text in texts:
+        lines = (text or "").encode().split(b"\n")
+        own = [own_line_features(x, lines[:i]) for i, x in enumerate(lines)]
+        none = [0.0] * crf.N_OWN
+        for i, x in enumerate(own):
+            want.append([*x, *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < len(own) else none),
+                         i == 0, i + 1 == len(own), 1])
+    t = Texts(pa.array(texts))
+    x, size, first = crf.line_features(t)
+    assert np.allclose(x, np.array(want, dtype=float))
+    weights = np.random.default_rng(2).normal(size=(x.shape[1], 2))
+    e, size2, first2 = crf.potentials(t, weights)
+    assert np.allclose(e, x @ weights) and (size == size2).all() and (first == first2).all()
+    # a document's raw quality: its lines' marginals, weighted by their bytes
+    model = crf.Model(weights, np.zeros((2, 2)), 2.0, -1.0)
+    p = 1 / (1 + np.exp(e[:, 0] - e[:, 1]))
+    w = np.maximum(size, 1)
+    raw = np.array([(p * w)[i:j].sum() / w[i:j].sum() for i, j in zip(first[:-1], first[1:])])
+    assert np.allclose(model.score(t), 1 / (1 + np.exp(1 - 2 * raw)))
+
+
+def test_training_sample_is_bounded_and_long_texts_are_scored_whole(spark):
+    rows = [(i, f"text {i}\n" * 10) for i in range(1, 60)] + [(60, "\n" * 300_000), (61, "a b c\n" * 90_000)]
+    docs, labels = documents(spark, rows), spark.createDataFrame(
+        [(i, i % 2, 0) for i, _ in rows], frame(spark, "labels").schema)
+    texts, marks = crf.training_sample(docs, labels, max_bytes=2000, max_lines=400)
+    assert 0 < len(texts) == len(marks) < 40 and sum(len(x) for x in texts.to_pylist()) <= 2000
+    texts, _ = crf.training_sample(docs, labels)
+    assert max(len(x) for x in texts.to_pylist()) < 1000 and len(texts) > 40
+    got = crf.score_documents(docs, labels)
+    assert got.count() == len(rows) and got.filter("score between 0 and 1").count() == len(rows)
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = frame(spark, "documents", SF01), frame(spark, "labels", SF01)
     pdf = crf.score_documents(docs, labels).join(labels, "doc_id").toPandas()
