@@ -646,3 +646,14 @@ def test_decontamination_awkward(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_fit_stays_in_few_tasks(spark, monkeypatch):
+    """Each task of the fit sends a part of full size, so their number stays
+    bounded where exchanges have more partitions than asked for."""
+    docs = documents(spark, [(i, f"text {i}") for i in range(300)])
+    kind = type(docs)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, n, *by: plain(df, 40, *by))
+    got = decontaminate.fit_sample(docs, 300)
+    assert got.rdd.getNumPartitions() <= decontaminate.FIT_TASKS and got.count() == 300
