@@ -91,3 +91,14 @@ def test_tokens_are_counted_in_slices():
     parts = list(lexical._token_slices([batch], most=7))
     assert [p.num_rows for p in parts] == [3, 1, 3]
     assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+
+
+def test_top_k_of_a_run_is_found_in_the_scoring_tasks(task, monkeypatch):
+    index, _, queries = task
+    run = lexical.bm25_scores(index, queries)
+    want = sorted(map(tuple, ranking.top_k_per_query(run.select("*"), 3).collect()))    # sorts the run's rows
+    calls = []
+    plain = score_tiles.Scorer.top
+    monkeypatch.setattr(score_tiles.Scorer, "top", lambda scorer, k: calls.append(k) or plain(scorer, k))
+    got = ranking.top_k_per_query(run, 3)
+    assert calls == [3] and sorted(map(tuple, got.collect())) == want
