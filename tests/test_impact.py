@@ -112,3 +112,17 @@ def test_term_ranges_hold_their_terms(spark):
         assert set(terms) <= got
     assert "zzz" not in {r.term for r in df.filter(saved_index.term_ranges(terms, 64)).collect()}
     assert df.filter(saved_index.term_ranges([])).count() == 0
+
+
+def test_chunks_stay_small_whatever_a_task_holds():
+    """Batches of 10,000 postings of 50 a document, 600,000 in all."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quarry.operators import impact
+    doc = np.repeat(np.arange(12_000), 50)
+    batches = [pa.RecordBatch.from_arrays([pa.array(doc[i:i + 10_000]), pa.array(doc[i:i + 10_000] % 7),
+                                           pa.array(np.ones(10_000))], ["doc_id", "code", "wd"])
+               for i in range(0, len(doc), 10_000)]
+    sizes = [len(part[0]) for part in impact._chunks(iter(batches), impact.CHUNK)]
+    assert sum(sizes) == len(doc) and max(sizes) <= (1 << 18) + 10_000
