@@ -657,3 +657,28 @@ def test_fit_stays_in_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(kind, "repartition", lambda df, n, *by: plain(df, 40, *by))
     got = decontaminate.fit_sample(docs, 300)
     assert got.rdd.getNumPartitions() <= decontaminate.FIT_TASKS and got.count() == 300
+
+
+def test_fit_takes_every_passage(spark, monkeypatch):
+    """B = A'(A O) of all texts, however many passages; only a sample's before."""
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.5)) % 900}" for _ in range(rnd.choice((1, 15, 16, 33, 700))))
+             for _ in range(60)]
+    docs = documents(spark, [*enumerate(texts), (70, ""), (71, None)])
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 40)
+    df, n = decontaminate.passage_frequencies(docs)
+    idf = decontaminate.idf_of(df, n)
+    for part in (1 << 19, 64):                   # passages of a slice in one part or in several
+        monkeypatch.setattr(decontaminate, "SLICE", part)
+        got = decontaminate.sketch_product(decontaminate.fit_sample(docs, n), idf)
+        o, want = decontaminate._gaussian().astype(np.float64), np.zeros(got.shape)
+        seen = 0
+        for t in texts:
+            h, _ = decontaminate._hashes(Texts(pa.array([t]), lower=True))
+            term = decontaminate._terms(h)
+            for x in (term[i:i + 16] for i in range(0, len(term), 16)):
+                w = idf[x].astype(np.float64)
+                np.add.at(want, x, w[:, None] * (w @ o[x] / (w @ w)))
+                seen += 1
+        assert seen == n > 500
+        assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
