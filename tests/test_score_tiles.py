@@ -102,3 +102,59 @@ def test_top_k_of_a_run_is_found_in_the_scoring_tasks(task, monkeypatch):
     monkeypatch.setattr(score_tiles.Scorer, "top", lambda scorer, k: calls.append(k) or plain(scorer, k))
     got = ranking.top_k_per_query(run, 3)
     assert calls == [3] and sorted(map(tuple, got.collect())) == want
+
+
+def _scorer(task, max_bytes):
+    index, _, queries = task
+    return score_tiles.Scorer(*lexical._bm25_sides(index, queries, "query_id", "query_text"), max_bytes)
+
+
+def test_blocks_share_one_exchange(task):
+    """Each block of queries joined, exchanged and sorted all postings before."""
+    scorer = _scorer(task, 10)
+    assert scorer.block_count() > 1
+    got = []
+    for k in range(3):
+        df = scorer.map_tiles(k, 3, lambda ids, tiles: (score_tiles._batch(ids[q][np.nonzero(hit)[0]], docs[np.nonzero(hit)[1]], score[hit])
+                                                        for q, docs, score, hit in tiles), score_tiles.SCHEMA)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Sort" not in plan
+        got += [tuple(r) for r in df.collect()]
+    want = {(r["query_id"], r["doc_id"]): r["score"] for r in _scorer(task, 1 << 20).run().collect()}
+    assert len(got) == len(want) and all(want[q, d] == pytest.approx(s) for q, d, s in got)
+    # the scores of pairs, sent to the documents' tasks
+    pairs = scorer.query_terms.sparkSession.createDataFrame(
+        [(q, d) for q in (0, 5, 39, 70) for d in (1, 2, 77, 900, 901, 5000)], "query_id long, doc_id long")
+    for k in range(3):
+        for r in scorer.pair_scores(scorer.block(pairs, k, 3), k, 3).collect():
+            assert r["score"] == pytest.approx(want.get((r["query_id"], r["doc_id"]), 0.0))
+
+
+@pytest.mark.parametrize("few", [0, 2, 8])
+def test_tally_against_rows(monkeypatch, few):
+    """Counts of a tile for queries with few and many relevant docs; scores of
+    both signs, ties, unscored ones."""
+    monkeypatch.setattr(evaluate, "FEW_PROBES", few)
+    rnd = np.random.default_rng(few)
+    queries, docs = np.array([3, 5, 9, 12]), np.arange(0, 60, 2)
+    scores = rnd.integers(-2, 4, (4, 30)).astype(np.float32)
+    q = np.repeat([3, 5, 12], [2, 9, 4])
+    d = np.concatenate([rnd.choice(62, n, replace=False) for n in (2, 9, 4)])
+    of = lambda x, y: float(scores[np.flatnonzero(queries == x)[0], y // 2]) if y < 60 and y % 2 == 0 else 0.0
+    p = evaluate._Probes(None, q, d, np.array([of(x, y) for x, y in zip(q, d)]))
+    n = len(p.doc) + len(p.first) - 1
+    counts = {k: np.zeros(n, dtype=np.int64) for k in ("rank", "start", "end", "ids", "scored", "positive")}
+    for lo in (0, 7, 20):                                   # in three tiles
+        part = slice(lo, {0: 7, 7: 20, 20: 30}[lo])
+        p.tally(counts, queries, docs[part], scores[:, part])
+    for at, (g, doc, neg, zero) in enumerate(zip(p.gid, p.doc, p.neg, p.zero)):
+        own = scores[np.flatnonzero(queries == p.queries[g])[0]]
+        rows = [(-s, x) for s, x in zip(own.tolist(), docs.tolist()) if s]
+        begin = (p.split[g] if zero else p.first[g]) + g
+        got = {k: counts[k][begin:at + g + 1].sum() for k in ("rank", "start", "end", "ids")}
+        if zero:
+            assert got["ids"] == sum(x < doc for _, x in rows)
+        else:
+            assert got["rank"] == sum(r < (neg, doc) for r in rows)
+            assert (got["start"], got["end"]) == (sum(s < neg for s, _ in rows), sum(s <= neg for s, _ in rows))
+        assert counts["scored"][g] == len(rows) and counts["positive"][g] == sum(s < 0 for s, _ in rows)
