@@ -66,3 +66,13 @@ def test_repeated_paragraph_ids_raise(spark):
     edges = spark.createDataFrame([(1, 1)], "par_id_from long, par_id_to long")
     with pytest.raises(ValueError, match="par_id is not unique"):
         prepare_retrieval_task(par, edges)
+
+
+def test_texts_stay_in_their_tasks(spark):
+    """Candidate pairs are sent to the texts; the texts crossed an exchange before."""
+    d = spark.createDataFrame([(i, f"filler one two{i % 7} three four{i}") for i in range(50)], "doc_id long, text string")
+    p = spark.createDataFrame([(1, "one two3 three"), (2, "one two3 four3")], "query_id long, query_text string")
+    got = contains_pairs(d, p)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(tuple(r) for r in got.collect()) == [(1, i) for i in range(3, 50, 7)]
